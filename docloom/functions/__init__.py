@@ -1 +1 @@
-
+"""Column functions, all built from Spark SQL functions."""

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import documents, records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = documents.QUERIES | records.QUERIES
+ORACLE_SQL: dict[str, str] = documents.ORACLE_SQL | records.ORACLE_SQL
