@@ -57,7 +57,7 @@ def shuffle_shards(docs: DataFrame, n_shards: int = 8, seed: int = SEED, bucket_
         .select("shard", "bucket", F.shuffle(F.array_sort("records", _by_id), seed).alias("records"))
     )
     return (
-        gathered.join(F.broadcast(before), "bucket")  # a row for each bucket, that is for each bucket_bytes of input
+        gathered.join(before, "bucket")  # both sides are dealt by bucket already, so only the row for each bucket moves
         .select("shard", "bucket", "before", F.posexplode("records").alias("pos", "r"))
         .select("r.row", "r.doc_id", "r.size", "shard", "bucket", "r.grown_shard", (F.col("before") + F.col("pos")).alias("slot"))
     )
