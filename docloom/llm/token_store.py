@@ -37,7 +37,7 @@ MEAN, LEAST, MOST = 512, 128, 4096
 #: Documents of a block of the manifest; a range of the recipes is cut into such blocks.
 BLOCK = 4096
 #: Words whose ids a worker remembers in each of two generations.
-REMEMBER = 250_000
+REMEMBER = 350_000
 
 _LOADED: dict[str, WordEncoder] = {}
 _ODD = re.compile("[\x1c-\x1f]")
@@ -131,18 +131,24 @@ def _mix() -> np.ndarray:
 _MIX = _mix()
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream; they depend on content only, and the last is the stream's end."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    mixed = _MIX[ids & np.uint32(0xFFFF)] ^ (ids >> np.uint32(16))
+def places(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash allows a cut: after 1 id in MEAN, decided by the last WINDOW ids alone."""
+    mixed = _MIX[ids & np.uint32(0xFFFF)]
+    if len(ids) and ids.max() >> 16:
+        mixed ^= ids >> np.uint32(16)
     h = mixed.copy()
     for k in range(1, WINDOW):
         h[k:] += mixed[:-k] << np.uint32(5 * k)
-    places = np.flatnonzero(h >> np.uint32(23) == 0) + 1  # 1 in MEAN
+    return np.flatnonzero(h >> np.uint32(23) == 0) + 1
+
+
+def cuts(allowed: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of n ids, from the places that allow a cut; the last is n.
+
+    No place before LEAST matters, so what stood before the stream when places were sought (fewer than WINDOW ids back) doesn't either.
+    """
     ends, begin = [], 0
-    for p in [*places.tolist(), n]:
+    for p in [*allowed, n]:
         while p - begin > MOST:
             begin += MOST
             ends.append(begin)
@@ -178,18 +184,23 @@ def _loose(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
         end = np.asarray([end_id], "<u4").tobytes()
         out: dict[str, list] = {f: [] for f in LOOSE.names}
         seen: set[bytes] = set()
-        for raw in encoder(path).encode_all(texts):
-            ids = np.frombuffer(raw + end, "<u4")
-            hashes, chunks, begin = [], [], 0
-            for stop in cut_points(ids):
-                part = ids[begin:stop].astype(f"<u{width}").tobytes()
+        streams = [raw + end for raw in encoder(path).encode_all(texts)]
+        ids = np.frombuffer(b"".join(streams), "<u4")
+        bounds = np.cumsum([0, *(len(x) // 4 for x in streams)])
+        allowed = places(ids)
+        data = ids.astype(f"<u{width}").tobytes()
+        at = np.searchsorted(allowed, bounds, side="right")
+        for d, (left, right) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+            hashes, chunks, begin = [], [], left
+            for stop in cuts((allowed[at[d] : at[d + 1]] - left).tolist(), right - left):
+                part = data[width * begin : width * (left + stop)]
                 h = hashlib.sha256(part).digest()
                 hashes.append(h)
                 if h not in seen:
                     seen.add(h)
-                    chunks.append({"hash": h, "n": stop - begin, "data": press.compress(part)})
-                begin = stop
-            for f, v in zip(LOOSE.names, (len(ids), hashes, merkle(hashes), chunks)):
+                    chunks.append({"hash": h, "n": left + stop - begin, "data": press.compress(part)})
+                begin = left + stop
+            for f, v in zip(LOOSE.names, (right - left, hashes, merkle(hashes), chunks)):
                 out[f].append(v)
         return out
 
