@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import held_out, labelled_sample, map_texts, packed
 
 #: The fit reads at most so many labelled documents, each of at most so many bytes. Scoring has no such bounds.
-FIT_ROWS, FIT_BYTES = 4500, 65536
+FIT_ROWS, FIT_BYTES = 3500, 65536
 DECAY = 0.7
 REACH = 5
 LANDMARKS = 300
@@ -145,6 +145,16 @@ def _kernel(words: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranks(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """Sum of weights over each word's profile, for some words at a time."""
+    out = []
+    for at in range(0, len(words), 20_000):
+        part = words[at : at + 20_000]
+        word, code, weight = profile(part)
+        out.append(np.bincount(word, weights=weight * weights[code], minlength=len(part)))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Squared-hinge support vector machine in the primal, by Newton steps over the active rows."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -170,22 +180,20 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
     raw = [set().union(*map(units, _SENTENCE.split(t))) for t in texts]
     parts = {u: [f for f in pieces(fold(u)) if len(f.replace(" ", "")) >= 3] for u in set().union(*raw)}
     bags = [{f for u in b for f in parts[u]} for b in raw]
+    del raw, parts
     clean = set().union(*[b for b, k in zip(bags, y) if k == 0])
     words = sorted(set().union(*bags))
     number = {w: i for i, w in enumerate(words)}
     is_clean = np.array([w in clean for w in words])
-    word, code, weight = profile(words)
-    first = np.searchsorted(word, np.arange(len(words) + 1))
     # Documents of each class that have a subsequence, and from that each word's first rank.
     have, seen = np.zeros((2, ALPHABET**3)), [0, 0]
     for b, k in zip(bags, y):
         if seen[k] == RANKED:
             continue
         seen[k] += 1
-        at = np.concatenate([np.arange(first[i], first[i + 1]) for i in map(number.__getitem__, b)]) if b else np.zeros(0, int)
-        have[k][np.unique(code[at])] += 1
+        have[k][np.unique(codes(sorted(b))[1])] += 1
     lift = np.log((have[1] + 0.5) / (seen[1] + 1)) - np.log((have[0] + 0.5) / (seen[0] + 1))
-    rank = np.bincount(word, weights=weight * lift[code], minlength=len(words))
+    rank = _ranks(words, lift)
     toxic_bags = [np.array([number[w] for w in b]) for b, k in zip(bags, y) if k == 1 and b]
     # Words of several toxic documents and of no clean one: chance alone makes next to none of them.
     often = np.bincount(np.concatenate([*toxic_bags, np.zeros(0, int)]).astype(int), minlength=len(words))
@@ -205,8 +213,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
         order = np.lexsort([rng.random(len(chosen)), -often[chosen]])
         marks = np.concatenate([chosen[order[: landmarks * 2 // 3]], rng.choice(other, min(landmarks // 3, len(other)), replace=False)])
         table = np.zeros((ALPHABET**3, len(marks)))
-        for k, i in enumerate(marks):
-            table[code[first[i] : first[i + 1]], k] = weight[first[i] : first[i + 1]]
+        word, code, weight = profile([words[i] for i in marks])
+        table[code, word] = weight
         value, vector = np.linalg.eigh(table.T @ table)
         root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T  # inverse root of the landmarks' kernel matrix
         rows = np.concatenate([chosen, other])
@@ -215,7 +223,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
         cost = np.repeat([12.0, 4.0, 1.0], [len(chosen), len(other), len(altered)])
         w, b = _linear_svm(_kernel([*(words[i] for i in rows), *altered], table) @ root, target, cost)
         machine = Machine(table @ (root @ w), b, 1.0, 0.0)
-        rank = np.bincount(word, weights=weight * machine.weights[code], minlength=len(words)) + b
+        rank = _ranks(words, machine.weights) + b
         hard = np.union1d(hard, ordinary[np.argsort(-rank[ordinary])[:3000]]).astype(int)
     if machine is None:
         return Machine(np.zeros(ALPHABET**3), -1.0, 4.0, 0.0)
