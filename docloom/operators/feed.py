@@ -1,4 +1,4 @@
-"""Change feeds, claims and limits: the batch forms; docloom.streaming has the same over streams."""
+"""Change feeds, claims and limits: the batch forms."""
 
 from __future__ import annotations
 
