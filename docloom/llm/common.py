@@ -56,8 +56,8 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
-def map_texts(df: DataFrame, compute: Callable[[list[str]], dict[str, list]], added: T.StructType, keep: tuple[str, ...]) -> DataFrame:
-    """Add to the columns `keep` of df what compute makes of its column text (null: empty), in slices of SLICE_ROWS rows.
+def map_texts(df: DataFrame, compute: Callable[[list[str]], dict[str, list]], added: T.StructType, keep: tuple[str, ...], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Add to the columns `keep` of df what compute makes of its column text (null: empty), in slices of slice_rows rows.
 
     compute gets a list of whole texts and returns lists of equal length, one for each field of `added`.
     """
@@ -67,8 +67,8 @@ def map_texts(df: DataFrame, compute: Callable[[list[str]], dict[str, list]], ad
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for at in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(at, slice_rows)
                 found = compute([t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()])
                 arrays = [part.column(part.schema.get_field_index(c)) for c in keep]
                 arrays += [pa.array(found[f.name], type=f.type) for f in to_arrow]

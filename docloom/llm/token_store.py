@@ -24,6 +24,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,82 +37,118 @@ WINDOW = 4
 MEAN, LEAST, MOST = 512, 128, 4096
 #: Documents of a block of the manifest; a range of the recipes is cut into such blocks.
 BLOCK = 4096
-#: Words whose ids a worker remembers in each of two generations.
-REMEMBER = 350_000
+#: Words whose ids a worker remembers in each of two generations, and the length up to which a word outlives its first one.
+REMEMBER, SHORT = 400_000, 64
+
+#: Documents encoded together.
+SLICE = 1024
 
 _LOADED: dict[str, WordEncoder] = {}
 _ODD = re.compile("[\x1c-\x1f]")
+#: Below U+0100 the library and Python agree on lower case, and nothing is decomposed.
+_WIDE = re.compile("[^\0-\xff]")
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def _lowered(text: str) -> str:
+    """In lower case where that changes no id: not where a special token may stand, which is matched as it is."""
+    return text.lower() if "<|" not in text and (text.isascii() or not _WIDE.search(text)) else text
+
+
 class WordEncoder:
     """Encodes texts by the library, and each distinct word once.
 
     No pattern of the tokenizer matches over white space, so the ids of a text are those of its words, one after the other. A word of Latin
     letters with ASCII marks after it is a match of letters and one of marks, so those are encoded apart. Letters without
     marks are one match, and the last token of a match has the tokenizer's word end; that is how the ids of many words encoded
-    in one call are told apart. Any other word is encoded as it is.
+    in one call are told apart. Such letters are in lower case and composed already, so the library gets them without its normalizer, cut at
+    blanks alone. Any other word is encoded as it is.
     """
 
     def __init__(self, path: str):
         env_single_thread()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.plain):
+            t.no_truncation()
+            t.no_padding()
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: tuple[dict, dict] = ({}, {})
-        self.letters: tuple[dict, dict] = ({}, {})
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _known(self, wanted, memory: tuple[dict, dict]) -> list[str]:
+    def _unknown(self, wanted: set[str]) -> list[str]:
         """What of wanted the young memory lacks after taking over from the old one."""
-        young, old = memory
-        missing = []
-        for w in wanted:
-            if w not in young:
-                if (ids := old.get(w)) is not None:
-                    young[w] = ids
-                else:
-                    missing.append(w)
+        young, old, missing = self.young, self.old, []
+        for w in wanted.difference(young):
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+            else:
+                missing.append(w)
         return missing
 
     def _learn(self, wanted: set[str]) -> None:
-        words, letters = self.words[0], self.letters[0]
-        split, other = [], []
-        for w in self._known(wanted, self.words):
-            m = _SIMPLE.fullmatch(w)
-            split.append((w, m[1].lower(), m[2])) if m else other.append(w)
-        new = self._known({c for _, c, _ in split}, self.letters)
-        other += self._known({t for _, _, t in split if t}, self.words)
-        if new:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
+        known = self.young
+        letters, other, split = set(), set(), []
+        for w in self._unknown(wanted):
+            if w.isascii() and w.isalpha() and w.islower():
+                letters.add(w)
+            elif m := _SIMPLE.fullmatch(w):
+                core, tail = m[1].lower(), m[2]
+                split.append((w, core, tail))
+            else:
+                other.add(w)
+        letters.update(self._unknown({core for _, core, _ in split}))
+        other.update(self._unknown({tail for _, _, tail in split if tail}))
+        if letters:
+            new = list(letters)
+            ids = np.asarray(self.plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
             if len(ends) != len(new):
                 raise ValueError("the tokenizer has no word ends, or cuts letters")
             data, begin = ids.tobytes(), 0
             for w, end in zip(new, ends):
-                letters[w] = data[4 * begin : 4 * end]
+                known[w] = data[begin:end]
                 begin = end
-        for e, w in zip(self.tokenizer.encode_batch_fast(other, add_special_tokens=False), other):
-            words[w] = array("I", e.ids).tobytes()
+        for e, w in zip(self.tokenizer.encode_batch_fast(rest := list(other), add_special_tokens=False), rest):
+            known[w] = array("I", e.ids).tobytes()
         for w, core, tail in split:
-            words[w] = letters[core] + words[tail] if tail else letters[core]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        # Of the characters that Python takes for white space the library takes all but these four.
-        rows = [[t] if _ODD.search(t) else t.split() for t in texts]
-        self._learn(set().union(*rows))
-        words = self.words[0]
-        out = [b"".join([words[w] for w in r]) for r in rows]
-        for name in ("words", "letters"):
-            young = getattr(self, name)[0]
-            if len(young) > REMEMBER:
-                setattr(self, name, ({}, {w: i for w, i in young.items() if len(w) <= 64}))
-        return out
+            known[w] = known[core] + known[tail] if tail else known[core]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text begins and the last ends.
+
+        Arrow cuts the words and numbers the distinct ones, so a Python object is made for each distinct word only.
+        """
+        # Of the characters that Python and Arrow take for white space the library takes all but these four: such a text is read as one word.
+        odd = {i: t for i, t in enumerate(texts) if _ODD.search(t)}
+        rows = pc.utf8_split_whitespace(pa.array(["" if i in odd else _lowered(t) for i, t in enumerate(texts)], pa.large_string()))
+        coded = rows.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn({*words, *odd.values()})
+        ids_of = self.young.__getitem__
+        known = [*map(ids_of, words), *map(ids_of, odd.values())]
+        flat = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(size) - size
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = rows.offsets.to_numpy().astype(np.int64)
+        if odd:
+            at = np.fromiter(odd, np.int64, len(odd))  # rows that hold one empty word so far
+            word[begins[at]] = len(words) + np.arange(len(odd))
+        long = [w for w in words if len(w) > SHORT]
+        for w in {*long, *odd.values()}:
+            self.young.pop(w, None)
+        if len(self.young) > REMEMBER:
+            self.young, self.old = {}, self.young
+        n = size[word]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(first[word] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.append(0, ends)[begins]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -181,12 +218,11 @@ def _loose(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
 
     def compute(texts: list[str]) -> dict:
         press = zstandard.ZstdCompressor(level=1)
-        end = np.asarray([end_id], "<u4").tobytes()
         out: dict[str, list] = {f: [] for f in LOOSE.names}
         seen: set[bytes] = set()
-        streams = [raw + end for raw in encoder(path).encode_all(texts)]
-        ids = np.frombuffer(b"".join(streams), "<u4")
-        bounds = np.cumsum([0, *(len(x) // 4 for x in streams)])
+        ids, bounds = encoder(path).encode_all(texts)
+        ids = np.insert(ids, bounds[1:], np.uint32(end_id))
+        bounds = bounds + np.arange(len(bounds))
         allowed = places(ids)
         data = ids.astype(f"<u{width}").tobytes()
         at = np.searchsorted(allowed, bounds, side="right")
@@ -204,7 +240,7 @@ def _loose(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
                 out[f].append(v)
         return out
 
-    return map_texts(packed(docs), compute, LOOSE, ("doc_id",))
+    return map_texts(packed(docs), compute, LOOSE, ("doc_id",), SLICE)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vocabulary: int = 1 << 16) -> None:
