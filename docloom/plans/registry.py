@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, records
+from . import documents, records, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = documents.QUERIES | records.QUERIES
-ORACLE_SQL: dict[str, str] = documents.ORACLE_SQL | records.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = documents.QUERIES | records.QUERIES | texts.QUERIES
+ORACLE_SQL: dict[str, str] = documents.ORACLE_SQL | records.ORACLE_SQL | texts.ORACLE_SQL
