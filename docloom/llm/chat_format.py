@@ -121,11 +121,14 @@ LEAF = ["cid", "run", "at", "part"]
 def _blocks(turns: DataFrame) -> DataFrame:
     """Blocks of distinct records in transcript order: a run of BLOCK turns, or, where a run holds over 4 * BLOCK, parts of a turn by hash.
 
-    cid, run, at and part order and name the blocks without nulls; records is the block's array, bounded as said.
+    cid, run, at and part order and name the blocks without nulls; records is the block's array, bounded as said. Null turns are run 0 and
+    the table's least turn lies in run 1, so no run is negative and all runs of a transcript meet at 0 in the tree.
     """
+    run = F.floor(F.col("turn").cast("long") / BLOCK)
+    least = turns.agg(F.min(run)).first()[0] or 0
     each = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
     each = each.groupBy("conv_id", "turn", "text").agg(F.count("*").alias("n_copies"))
-    each = each.withColumns({"h": F.xxhash64("text"), "cid": F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), "run": F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / BLOCK).cast("long")})
+    each = each.withColumns({"h": F.xxhash64("text"), "cid": F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), "run": F.coalesce(run - F.lit(least) + 1, F.lit(0)).cast("long")})
     crowd = each.groupBy("cid", "run").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 4 * BLOCK)
     # A turn of a crowded run is cut by ranges of the hash, which keeps the order (turn, hash).
     parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("crowd") / BLOCK)))

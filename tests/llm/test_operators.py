@@ -80,6 +80,31 @@ def test_blocks_decode_as_one_pass(spark, sf_dir, monkeypatch):
     assert len([r for r in got if r.conv_id == 8]) == 40 and chat_format.parse(turns.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("size", [2, 64])
+def test_null_and_negative_turns(spark, sf_dir, monkeypatch, size):
+    model = chat_format.fit(queries.raw_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    monkeypatch.setattr(chat_format, "BLOCK", size)
+    monkeypatch.setattr(chat_format, "FAN", size)
+    made = []
+
+    def written(df, name="cut"):
+        made.append(name)
+        assert len(made) < 60, "the run tree doesn't end"
+        return new_written(df, name)
+
+    new_written = chat_format.written
+    monkeypatch.setattr(chat_format, "written", written)
+    turns = {1: [None, -1, 0, 1], 2: [None, *range(-9, 12)], 3: [-70, 5], 4: [None, 900], None: [None, 3], 5: [0, 1]}
+    rows = [(c, t, f"{['User: ', '', 'A: '][i % 3]}line {i}?\nmore of {i}.") for c, ts in turns.items() for i, t in enumerate(ts)]
+    got = {(r.conv_id, r.turn): r for r in chat_format.parse(spark.createDataFrame(rows, "conv_id long, turn long, text string"), model).collect()}
+    assert len(got) == len(rows)
+    for c, ts in turns.items():
+        lines = [(i == 0, line) for d, _, text in rows if d == c for i, line in enumerate(text.split("\n"))]
+        states = plain_viterbi([chat_format.observe(line, first)[0] for first, line in lines], model)
+        assert [got[c, t].role for t in ts] == [chat_format.STATES[s][0] for s in states[::2]]
+        assert got[c, ts[0]].rendered.startswith("<|") and got[c, ts[-1]].rendered.endswith("<|end|>\n")
+
+
 # 2 sharding
 
 
