@@ -38,6 +38,26 @@ FROM s JOIN l USING (doc_id) WHERE dot / (norm * (SELECT sqrt(sum(q * q)) FROM q
 """.replace("n AS (SELECT ln(1.0)),\n", "")
 
 
+def related_to_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As related_documents, but with all text after the title as summary, for each document whose id is divisible by 100."""
+    docs = table(spark, sf_dir, "documents")
+    counts = retrieval.term_counts(docs, "doc_id", [(F.substring("text", 1, 60), 2), (F.substring("text", 61, 2**31 - 1), 1)])
+    return retrieval.cosine_of_each(counts, F.col("doc_id") % 100 == 0, "doc_id", docs.count())
+
+
+RELATED_TO_EACH_SQL = f"""
+WITH t AS (SELECT doc_id, term, sum(w) AS tf FROM (
+    SELECT doc_id, unnest({TOKENS.format("substr(text, 1, 60)")}) AS term, 2.0 AS w FROM documents UNION ALL
+    SELECT doc_id, unnest({TOKENS.format("substr(text, 61)")}) AS term, 1.0 AS w FROM documents) GROUP BY doc_id, term),
+df AS (SELECT term, ln((SELECT count(*) + 1 FROM documents) / (count(*) + 1.0)) + 1 AS idf FROM t GROUP BY term),
+w AS (SELECT doc_id, term, CAST(tf * idf AS DOUBLE) AS w FROM t JOIN df USING (term)),
+l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
+s AS (SELECT q.doc_id AS query_id, w.doc_id, sum(w.w * q.w) AS dot FROM w JOIN w AS q ON w.term = q.term AND w.doc_id <> q.doc_id WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, w.doc_id),
+r AS (SELECT query_id, s.doc_id, round(greatest(0.0, least(1.0, dot / (l.norm * o.norm))), 6) AS score FROM s JOIN l ON l.doc_id = s.doc_id JOIN l AS o ON o.doc_id = query_id)
+SELECT query_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score >= 0.05) WHERE rank <= 8
+"""
+
+
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return retrieval.document_frequency(docs.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")))
@@ -160,11 +180,12 @@ def turn_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.row_number().over(w).alias("level"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("chars_on_path"), F.count("*").over(Window.partitionBy("conv_id")).alias("n_turns"))
 
 
-QUERIES = {f.__name__: f for f in (related_documents, document_frequency, bm25_ranking, dedupe_sources, running_caps, store_bytes, sentence_lint, token_estimates, character_entropy, new_numbers, bold_terms, repeated_lines, carried_heading, chosen_with_neighbours, capped_sources, kept_texts, turn_paths)}
+QUERIES = {f.__name__: f for f in (related_documents, related_to_each, document_frequency, bm25_ranking, dedupe_sources, running_caps, store_bytes, sentence_lint, token_estimates, character_entropy, new_numbers, bold_terms, repeated_lines, carried_heading, chosen_with_neighbours, capped_sources, kept_texts, turn_paths)}
 
 _LINES = "(SELECT doc_id, unnest(range(0, len(l))) AS ix, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 ORACLE_SQL = {
     "related_documents": RELATED_SQL,
+    "related_to_each": RELATED_TO_EACH_SQL,
     "document_frequency": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY term",
     "bm25_ranking": BM25_SQL,
     "dedupe_sources": "SELECT doc_id, min(doc_id) OVER w AS duplicate_of, doc_id = min(doc_id) OVER w AS is_first, count(*) OVER w AS n_copies FROM (SELECT doc_id, sha256(text) AS sha FROM documents) WINDOW w AS (PARTITION BY sha)",
