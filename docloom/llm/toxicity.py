@@ -43,6 +43,8 @@ LANDMARKS = 300
 RANKED = 1000
 #: A word of no clean document is taken as toxic if so many toxic ones have it.
 CERTAIN = 5
+#: So many letters, beside the doubled one, are put in at each inner place of such a word.
+SURE_LETTERS = 4
 ALPHABET = 27
 #: A longer word is read in overlapping pieces of this length; the worst one counts.
 PIECE = 24
@@ -134,14 +136,15 @@ class Machine:
         return np.where(np.isfinite(out), out, 0) + self.bias
 
 
-def _kernel(words: list[str], table: np.ndarray) -> np.ndarray:
-    """Normalised kernel of words with the landmarks whose profiles are the columns of table."""
-    out = np.zeros((len(words), table.shape[1]))
+def _features(words: list[str], table: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Normalised kernel of words with the landmarks whose profiles are the columns of table, times root, and a last column of ones."""
+    out = np.zeros((len(words), table.shape[1] + 1))
     for at in range(0, len(words), 2000):
         word, code, weight = profile(words[at : at + 2000])
         if len(word):
             first = np.flatnonzero(np.append(True, np.diff(word) > 0))
-            out[at + word[first]] = np.add.reduceat(weight[:, None] * table[code], first, axis=0)
+            out[at + word[first], :-1] = np.add.reduceat(weight[:, None] * table[code], first, axis=0) @ root
+    out[:, -1] = 1
     return out
 
 
@@ -156,14 +159,18 @@ def _ranks(words: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Squared-hinge support vector machine in the primal, by Newton steps over the active rows."""
-    x = np.column_stack([x, np.ones(len(x))])
+    """Squared-hinge support vector machine in the primal, by Newton steps over the active rows, some at a time; x ends with a column of ones."""
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        a = x[active]
-        new = np.linalg.solve(ridge + (a * cost[active, None]).T @ a, a.T @ (cost[active] * y[active]))
+        left, right = ridge.copy(), np.zeros(x.shape[1])
+        for at in range(0, len(x), 4000):
+            part = slice(at, at + 4000)
+            active = y[part] * (x[part] @ w) < 1
+            a, c = x[part][active], cost[part][active]
+            left += (a * c[:, None]).T @ a
+            right += a.T @ (c * y[part][active])
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -212,23 +219,32 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
         # The words found oftenest first: each kind of insult has a landmark of its own.
         order = np.lexsort([rng.random(len(chosen)), -often[chosen]])
         marks = np.concatenate([chosen[order[: landmarks * 2 // 3]], rng.choice(other, min(landmarks // 3, len(other)), replace=False)])
-        table = np.zeros((ALPHABET**3, len(marks)))
-        word, code, weight = profile([words[i] for i in marks])
+        sure = np.isin(chosen, certain)
+        # Altered forms of the oftenest word cost as much as plain words, of others less by the square: a word of few documents may well be clean.
+        forms = [_altered(words[i], rng, SURE_LETTERS if k else 1) for i, k in zip(chosen, sure)]
+        share = np.repeat((often[chosen] / often[chosen].max()) ** 2, [len(f) for f in forms])
+        altered = [v for f in forms for v in f]
+        extra = [altered[i] for i in rng.choice(len(altered), min(landmarks // 2, len(altered)), replace=False, p=share / share.sum())]
+        table = np.zeros((ALPHABET**3, len(marks) + len(extra)))
+        word, code, weight = profile([*(words[i] for i in marks), *extra])
         table[code, word] = weight
         value, vector = np.linalg.eigh(table.T @ table)
         root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T  # inverse root of the landmarks' kernel matrix
         rows = np.concatenate([chosen, other])
-        altered = [_altered(words[i], rng) for i in chosen for _ in range(2)]
         target = np.repeat([1.0, -1.0, 1.0], [len(chosen), len(other), len(altered)])
-        cost = np.repeat([12.0, 4.0, 1.0], [len(chosen), len(other), len(altered)])
-        w, b = _linear_svm(_kernel([*(words[i] for i in rows), *altered], table) @ root, target, cost)
+        cost = np.concatenate([np.repeat([12.0, 4.0], [len(chosen), len(other)]), 12.0 * share])
+        w, b = _linear_svm(_features([*(words[i] for i in rows), *altered], table, root), target, cost)
         machine = Machine(table @ (root @ w), b, 1.0, 0.0)
         rank = _ranks(words, machine.weights) + b
         hard = np.union1d(hard, ordinary[np.argsort(-rank[ordinary])[:3000]]).astype(int)
     if machine is None:
         return Machine(np.zeros(ALPHABET**3), -1.0, 4.0, 0.0)
     worst = np.array([max((rank[number[w]] for w in b), default=machine.bias) for b in bags])
-    machine.slope, machine.offset = _platt(worst, y)
+    # A toxic document with its insults altered: each altered form of a sure word, weighed as the documents that have the word.
+    forms = [(i, machine.decisions(_altered(words[i], rng, SURE_LETTERS))) for i in chosen[sure]]
+    more = np.concatenate([*[d for _, d in forms], np.zeros(0)])
+    weight = np.concatenate([np.ones(len(y)), *[np.full(len(d), often[i] ** 2 / often[chosen].max() / len(d)) for i, d in forms]])
+    machine.slope, machine.offset = _platt(np.concatenate([worst, more]), np.concatenate([y, np.ones(len(more), int)]), weight)
     return machine
 
 
@@ -245,20 +261,23 @@ def _distinct(texts: list[str], sketches: int = 2) -> list[int]:
     return kept
 
 
-def _altered(word: str, rng: np.random.Generator) -> str:
-    """A word with one letter put in or doubled inside, as a further example of a toxic word."""
-    at = int(rng.integers(1, len(word)))
-    return word[:at] + (chr(97 + int(rng.integers(26))) if rng.random() < 0.5 else word[at - 1]) + word[at:]
+def _altered(word: str, rng: np.random.Generator, letters: int) -> list[str]:
+    """A word with its letter doubled and with so many other letters put in, each alone, at every inner place."""
+    out = []
+    for at in range(1, len(word)):
+        put = [chr(97 + int(c)) for c in rng.choice(26, letters, replace=False)]
+        out += [word[:at] + c + word[at:] for c in dict.fromkeys([word[at - 1], *put])]
+    return out
 
 
-def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic calibration with softened targets, by Newton's method."""
-    up, down = y.sum(), (1 - y).sum()
+def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Logistic calibration of weighted rows with softened targets, by Newton's method."""
+    up, down = (weight * y).sum(), (weight * (1 - y)).sum()
     t = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
     w, z = np.array([1.0, 0.0]), np.column_stack([x, np.ones(len(x))])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (t - p) - 1e-3 * w)
+        step = np.linalg.solve((z * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (weight * (t - p)) - 1e-3 * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-7:
             break

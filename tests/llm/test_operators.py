@@ -5,6 +5,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -368,6 +369,27 @@ def test_kernel_against_definition():
         assert have.keys() == want.keys() and all(abs(have[k] - want[k] / norm) < 1e-9 for k in want)
 
 
+def test_altered_insults_of_held_out_rows(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    scorer = toxicity.Scorer(toxicity.fit(docs, labels))
+    rows = [r for r in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    insult = re.compile(r"\b(idiot|stupid|scum|clown|disgusting|loser|worthless|trash|moron|pathetic)\b")
+    toxic = [r.text for r in rows if r.toxic and insult.search(r.text)]
+
+    def caught(texts):
+        z = scorer.machine.slope * np.array(scorer.worst(texts)) + scorer.machine.offset
+        return float((1 / (1 + np.exp(-z)) >= 0.7).mean())
+
+    def put(add):
+        return [insult.sub(lambda m, k=k: (w := m[0])[: (at := 1 + k % (len(w) - 1))] + add(k, w[at - 1]) + w[at:], t) for k in range(40) for t in toxic]
+
+    recall = {"inserted": caught(put(lambda k, _: chr(97 + k * 7 % 26))), "doubled": caught(put(lambda _, c: c)), "spaced": caught([insult.sub(lambda m: " ".join(m[0]), t) for t in toxic])}
+    wrong = caught([r.text for r in rows if not r.toxic])
+    print(len(toxic), recall, wrong)
+    assert len(toxic) >= 50 and min(recall.values()) >= 0.95 and wrong <= 0.02
+
+
 def test_classifiers_on_odd_rows(spark, odd):
     from docloom.llm import quality_classifier
 
