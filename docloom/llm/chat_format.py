@@ -1,7 +1,8 @@
 """Chat formatting: a hidden Markov model recovers the roles of a transcript's lines, then turns are rendered in one canonical form.
 
 States are a role and whether the line begins a turn or goes on with one. A line is observed through discrete features: its speaker marker, its
-length, how it begins and ends, and whether it stands first in its record. Start, transition and emission probabilities are relative
+length, and how it begins and ends; where records begin isn't observed, as a record may hold part of a turn or several. A marker is evidence
+only: a line inside a turn may begin with a name as well, and then keeps it when turns are rendered. Start, transition and emission probabilities are relative
 frequencies, smoothed, over labelled transcripts, counted by Spark; what reaches the driver is a table of counts whose size
 depends on the model alone.
 
@@ -12,7 +13,7 @@ in one task, and the result is that of one pass.
 
 Records are rows (conv_id, turn, text). Equal ones (also in all that is observed) are merged and counted in n_copies. Nulls and edge cases: a null
 conv_id or turn is a value of its own, and comes first; a null text is an empty line; records of one turn that differ are
-ordered by hash, then by text; an empty table gives no rows; other columns are ignored.
+ordered by hash, then by text; of paths with equal scores the one through the earlier states of STATES is taken; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, b) for r in ROLES for b in (True, False)]
@@ -37,17 +38,17 @@ SMOOTHING = 0.5
 NAMES = {"system": ("system", "instructions"), "user": ("user", "human", "customer", "question", "q"), "assistant": ("assistant", "bot", "ai", "agent", "answer", "a")}
 _ROLE_OF = {n: r for r, names in NAMES.items() for n in names}
 _MARKER = re.compile(r"^\s*(?:#{1,4}\s*|\*\*|\[|<)?\s*(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")\s*(?:\*\*|\]|>)?\s*(?::|-|$|(?<=[\]>])\s)\s*(?:\*\*)?\s*", re.IGNORECASE)
-FEATURES = 5
+FEATURES = 4
 
 
-def observe(line: str, first: bool) -> tuple[tuple[str, ...], str]:
+def observe(line: str) -> tuple[tuple[str, ...], str]:
     """The features of a line and the line without its speaker marker."""
     m = _MARKER.match(line)
     rest = line[m.end() :] if m else line
     n = len(rest)
     head = rest.lstrip()[:1]
     return (
-        "marker:" + (_ROLE_OF[m[1].lower()] if m else "none"), "first" if first else "later", "long" if n > 240 else "middle" if n > 60 else "short" if n else "empty",
+        "marker:" + (_ROLE_OF[m[1].lower()] if m else "none"), "empty" if not n else f"length:{min(n.bit_length(), 10)}",
         "upper" if head.isupper() else "lower" if head.islower() else "other", "asks" if rest.rstrip().endswith("?") else "ends" if rest.rstrip().endswith((".", "!")) else "open",
     ), rest
 
@@ -80,7 +81,7 @@ def fit(labelled: DataFrame) -> Hmm:
                 before = None
                 for i, line in enumerate(lines_of(text)):
                     state = STATES.index((role, i == 0))
-                    rows += [(f"f{k}", v, state) for k, v in enumerate(observe(line, i == 0)[0])]
+                    rows += [(f"f{k}", v, state) for k, v in enumerate(observe(line)[0])]
                     if before is not None:
                         rows.append(("move", str(before), state))
                     before = state
@@ -140,7 +141,7 @@ def _blocks(turns: DataFrame) -> DataFrame:
 
 def _observed(records: list[dict]) -> tuple[list[list[str]], list[tuple]]:
     split = [lines_of(r["text"]) for r in records]
-    return split, [observe(line, i == 0) for s in split for i, line in enumerate(s)]
+    return split, [observe(line) for s in split for line in s]
 
 
 def _step(v: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -235,13 +236,15 @@ def _entries(leaves: DataFrame) -> DataFrame:
             keys = {"up_run": F.floor(F.col("run") / FAN).cast("long"), "up_at": zero, "up_part": zero}
         else:
             break
-        now = written(now.withColumns(keys), "level")
-        levels.append(now)
-        now = written(_above(now), "nodes")
+        level = written(now.withColumns(keys), "level")
+        drop(now)
+        levels.append(level)
+        now = written(_above(level), "nodes")
     out = F.expr("cast(array_position(v, array_max(v)) - 1 as int)")
     states = now.select(*LEAF, F.lit(-1).alias("into"), out.alias("out"), F.lit(True).alias("is_last"))
     for level in reversed(levels):
-        states = written(_below(states, level), "states")
+        above, states = states, written(_below(states, level), "states")
+        drop(above, level, now)
     return states
 
 
@@ -289,8 +292,9 @@ def _decoded(block: dict, model: Hmm):
             if begins or first:
                 out.append(("" if first else "<|end|>\n") + f"<|{role}|>\n")
                 begun += 1
-            if rest or features[0] == "marker:none":
-                out.append(rest + "\n")
+            kept = rest if begins or first else line
+            if kept or features[0] == "marker:none":
+                out.append(kept + "\n")
         if block["is_last"] and i == len(split) - 1:
             out.append("<|end|>\n")
         yield block["conv_id"], record["turn"], STATES[states[at]][0], begun, len(lines), "".join(out), record["n_copies"]

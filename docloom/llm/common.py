@@ -5,15 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents handled together inside a task; bounds the memory of the numpy steps.
-SLICE_ROWS = 512
+#: Documents, and bytes of text, handled together inside a task; bounds the memory of the numpy steps. One longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local folder on a local master; on a cluster that is an error."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -35,11 +39,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_SCRATCH: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str = "cut", keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs no recomputation.
+
+    The table stays until drop() or the end of the innermost scratch() around this call, which leaves out those to keep.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once nothing that is still to run reads them."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            discard(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables written inside; what is to outlive it must be written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            discard(spark, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -57,7 +90,7 @@ def packed(df: DataFrame) -> DataFrame:
 
 
 def map_texts(df: DataFrame, compute: Callable[[list[str]], dict[str, list]], added: T.StructType, keep: tuple[str, ...], slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Add to the columns `keep` of df what compute makes of its column text (null: empty), in slices of slice_rows rows.
+    """Add to the columns `keep` of df what compute makes of its column text (null: empty), in slices of slice_rows rows and SLICE_BYTES at most.
 
     compute gets a list of whole texts and returns lists of equal length, one for each field of `added`.
     """
@@ -67,8 +100,8 @@ def map_texts(df: DataFrame, compute: Callable[[list[str]], dict[str, list]], ad
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            for at, end in slices(batch.column(batch.schema.get_field_index("text")), slice_rows, SLICE_BYTES):
+                part = batch.slice(at, end - at)
                 found = compute([t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()])
                 arrays = [part.column(part.schema.get_field_index(c)) for c in keep]
                 arrays += [pa.array(found[f.name], type=f.type) for f in to_arrow]
@@ -77,6 +110,16 @@ def map_texts(df: DataFrame, compute: Callable[[list[str]], dict[str, list]], ad
     return source.mapInArrow(run, schema)
 
 
+def slices(text: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of a column of strings, of so many rows and bytes at most; a longer string is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(ends):
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield at, end
+        at, before = end, int(ends[end - 1])
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(arrow_type(kind.elementType))

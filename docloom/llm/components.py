@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps until nothing changes.
 
 Each step replaces edges by edges to smaller nodes; a node with very many neighbours only meets an aggregation, which is combined
-before the shuffle, and a join, whose skewed side Spark can split. Every round is cut by a written table, so no lineage grows.
+before the shuffle, and a join, whose skewed side Spark can split. Every round is cut by a written table, so no lineage grows; the tables of the round before are deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 
 def _summary(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = written(large, "edges")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        last, now = now, written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop(last, large)
         after = _summary(now)
         if after == before:
             break

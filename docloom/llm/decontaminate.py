@@ -32,6 +32,8 @@ _WORD_BYTES = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x
 #: Bytes of words: digits, letters in lower case, all beyond ASCII; every other byte becomes a blank.
 FOLD = bytes(c if c in _WORD_BYTES else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 RADIX = 0x9E3779B97F4A7C15
+#: Words that are hashed in one go.
+PART = 1 << 17
 
 
 def words_of(text: str) -> list[bytes]:
@@ -56,18 +58,19 @@ def slice_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 def shingle_hashes(rows: list[list[bytes]], sizes: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each size: hash and position (over all words of all rows, one row after the other) of every shingle within a row."""
     words = [w for r in rows for w in r]
-    if not words:
-        return {k: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k in sizes}
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(length + 1) - 1
-    begin = end - length
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    out = {}
-    for k in sizes:
-        at = np.arange(max(0, len(words) - k + 1))
-        at = at[row[at] == row[at + k - 1]]
-        out[k] = slice_hashes(b" ".join(words), begin[at], end[at + k - 1]), at
-    return out
+    found: dict[int, list] = {k: [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] for k in sizes}
+    for first in range(0, len(words), PART):
+        part = words[first : first + PART + max(sizes, default=1) - 1]
+        data = b" ".join(part)
+        length = np.fromiter(map(len, part), np.int64, len(part))
+        end = np.cumsum(length + 1) - 1
+        begin = end - length
+        for k in sizes:
+            at = np.arange(max(0, min(PART, len(part) - k + 1)))
+            at = at[row[first + at] == row[first + at + k - 1]]
+            found[k].append((slice_hashes(data, begin[at], end[at + k - 1]), first + at))
+    return {k: tuple(np.concatenate(x) for x in zip(*parts)) for k, parts in found.items()}
 
 
 def item_words(text: F.Column) -> F.Column:

@@ -29,6 +29,8 @@ def _byte_classes() -> np.ndarray:
 
 
 BYTE_CLASS = _byte_classes()
+#: Bytes that are counted in one go.
+PART = 1 << 20
 OWN = 18
 #: Own features, those of the previous and of the next line, first and last flags.
 FEATURES = 3 * OWN + 2
@@ -53,8 +55,14 @@ def lines_of(texts: list[str]) -> Lines:
     ends = np.append(np.flatnonzero(raw == 10), len(raw))
     begins = np.append(0, ends[:-1] + 1)
     size = ends - begins
-    line_id = np.repeat(np.arange(n), size + 1)[: len(raw)]
-    counts = np.bincount(line_id * CLASSES + BYTE_CLASS[raw], minlength=n * CLASSES).reshape(n, CLASSES).astype(float)
+    counts, line = np.zeros((n, CLASSES)), 0
+    for at in range(0, len(raw), PART):
+        part = raw[at : at + PART]
+        feeds = part == 10
+        of = np.cumsum(feeds) - feeds
+        k = int(of[-1]) + 1
+        counts[line : line + k] += np.bincount(of * CLASSES + BYTE_CLASS[part], minlength=k * CLASSES).reshape(k, CLASSES)
+        line += int(feeds.sum())
     counts[: n - 1, SPACE] -= 1  # the line feeds themselves
     words, distinct, again, dup, cue = (np.zeros(n) for _ in range(5))
     at = 0

@@ -4,7 +4,7 @@ of its neighbours; forward-backward marginals, weighted by line length, make the
 Nulls and edge cases: a null text is read as empty, and an empty text is one empty line, which gets a score like any other; a
 null doc_id is kept and counts as held out; repeated rows are scored each on their own; an empty table gives an empty
 result; columns of the input stay in the struct `row`, so their names can't clash with those added. One task needs memory for
-SLICE_ROWS texts; nothing is shuffled.
+SLICE_ROWS texts and SLICE_BYTES, or for one longer text; nothing is shuffled.
 """
 
 from __future__ import annotations

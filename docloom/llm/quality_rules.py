@@ -1,14 +1,16 @@
 """Quality rules: Viterbi decoding of a linear-chain conditional random field marks each line as content or boilerplate, and the
-share of content decides whether a document is retained, after counting rules that fail a document outright.
+share of content decides whether a document is retained, after counting rules that fail a document outright. The model is fitted on the labels of
+quality, so boilerplate is what makes lines of documents labelled bad differ from those of good ones.
 
 Nulls and edge cases: a null text has no words, hence fails; an empty text likewise; a null doc_id is kept as it is; repeated rows
 are judged each on their own; an empty table gives an empty result; input columns stay in the struct `row`. One task needs
-memory for SLICE_ROWS texts; nothing is shuffled.
+memory for SLICE_ROWS texts and SLICE_BYTES, or for one longer text; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,8 @@ WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 #: A document is retained if at least this share of its code points is in content lines.
 MIN_CONTENT = 0.5
+#: Windows of a text from which on they are compared by hash first.
+LONG = 100_000
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> line_crf.Crf:
@@ -40,13 +44,21 @@ def repeated_words(data: bytes, words: list[bytes], window: int = WINDOW) -> int
         return 0
     line = b" ".join(words)
     starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-    first, ends = starts[:n].tolist(), (starts[window:] - 1).tolist()
-    runs = [line[a:b] for a, b in zip(first, ends)]
-    if len(set(runs)) == n:
-        return 0
-    seen: dict[bytes, int] = {}
     hit = np.zeros(n + 1, np.int64)
-    for i, run in enumerate(runs):
+    if n > LONG:  # hashes find what may be equal, so that only those runs are held
+        ends = starts[window:] - 1
+        hashes = np.fromiter((xxhash.xxh64_intdigest(line[a:b]) for a, b in zip(starts[:n], ends)), np.uint64, n)
+        value, count = np.unique(hashes, return_counts=True)
+        places = np.flatnonzero(np.isin(hashes, value[count > 1])).tolist()
+        runs = (line[starts[i] : ends[i]] for i in places)
+    else:
+        first, ends = starts[:n].tolist(), (starts[window:] - 1).tolist()
+        runs = [line[a:b] for a, b in zip(first, ends)]
+        if len(set(runs)) == n:
+            return 0
+        places = range(n)
+    seen: dict[bytes, int] = {}
+    for i, run in zip(places, runs):
         j = seen.setdefault(run, i)
         if j != i:
             hit[i] = hit[j] = 1

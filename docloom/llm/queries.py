@@ -25,15 +25,21 @@ def tokenizer_path(name: str) -> str:
 
 
 def raw_transcripts(conversations: DataFrame) -> DataFrame:
-    """The conversations as transcripts without roles: each turn begins with a speaker name in the style of its conversation, every fifth or so with none.
+    """The conversations as transcripts without roles: three turns in five begin with a speaker name in the style of their conversation, the others with none.
 
-    role stays beside for training and for measuring; parse() doesn't read it.
+    One turn in seven of two lines or more has a decoy: its second line begins with some speaker's name. role and marked stay beside for training and for
+    measuring; parse() reads neither.
     """
     styles = [("User: ", "Assistant: ", "System: "), ("### Human:\n", "### Bot:\n", "### Instructions:\n"), ("[customer] ", "[agent] ", "[system] "), ("Q: ", "A: ", "System: "), ("**User:** ", "**AI:** ", "**System:** ")]
     style = F.pmod(F.xxhash64(F.col("conv_id")), F.lit(len(styles)))
     of_role = {r: F.element_at(F.array(*[F.lit(s[i]) for s in styles]), (style + 1).cast("int")) for i, r in enumerate(("user", "assistant", "system"))}
-    name = F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == 0, "").otherwise(F.coalesce(*[F.when(F.col("role") == r, m) for r, m in of_role.items()], F.lit("")))
-    return conversations.select("conv_id", "turn", "role", F.concat(name, F.coalesce("text", F.lit(""))).alias("text"))
+    marked = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) > 1
+    other = F.element_at(F.array(*of_role.values()), (F.pmod(F.xxhash64("turn", "conv_id"), F.lit(3)) + 1).cast("int"))
+    body = F.coalesce("text", F.lit(""))
+    decoy = (F.pmod(F.xxhash64("conv_id", "turn", F.lit(1)), F.lit(7)) == 0) & body.contains("\n")
+    body = F.when(decoy, F.concat(F.substring_index(body, "\n", 1), F.lit("\n"), other, F.substr(body, F.instr(body, "\n") + 1))).otherwise(body)
+    name = F.when(~marked, "").otherwise(F.coalesce(*[F.when(F.col("role") == r, m) for r, m in of_role.items()], F.lit("")))
+    return conversations.select("conv_id", "turn", "role", marked.alias("marked"), F.concat(name, body).alias("text"))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +51,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shards_of(table(spark, sf_dir, "documents"), 8)
     crc = F.crc32(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"))
-    return found.select("doc_id", F.col("size").cast("long").alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"))
+    return found.select("doc_id", F.col("size").cast("long").alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +89,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind_ix"] < len(pii.BASE))
-    return found.select("doc_id", *[of(k) for k in pii.BASE], F.sha2(pii.described(base), 256).alias("base_sha256"), pii.described(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[of(k) for k in pii.BASE], F.sha2(pii.described(base), 256).alias("base_sha256"), pii.described(F.col("spans")).alias("spans"), pii.scores(F.col("spans")).alias("scores"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,11 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
     n = len(words) - shingle + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), (starts[shingle:] - 1).tolist())), np.uint64, n)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
-        part = np.ascontiguousarray(hashes[at : at + (1 << 16)]).astype("<u8").view(np.uint8).reshape(-1, 8)
+        end = min(n, at + (1 << 16))
+        places = zip(starts[at:end].tolist(), (starts[at + shingle : end + shingle] - 1).tolist())
+        part = np.fromiter((digest(line[a:b], seed) for a, b in places), np.uint64, end - at).astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0].astype(np.int64))
 

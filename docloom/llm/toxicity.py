@@ -1,27 +1,32 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence string kernel, with Nyström landmarks.
 
-The kernel compares two words by the subsequences of three letters that they share; each counts L ** span, where the span is the distance from its
-first to its last letter in the text, so gaps and inserted characters weaken a match but don't break it. At most REACH letters
-may lie between. Words are folded first (lower case, marks off, digits that stand for letters), and other characters keep their places as gaps.
-A run of single characters ("i d i o t") is read as one word.
+The kernel compares two words by the subsequences of three and of four letters that they share; each counts L ** span, where the span is the distance from its
+first to its last letter in the text, so gaps and inserted characters weaken a match but don't break it. A subsequence reaches
+over REACH letters at most. Words are folded first (lower case, composed, digits that stand for letters), a mark before the first letter and one after the last
+count as letters, and characters that are no letters keep their places as gaps. Letters of every alphabet, with their accents, are told apart:
+a subsequence is hashed from its code points to one of BUCKETS numbers. A run of single characters ("i d i o t") is read as one word.
 
 Nyström: k(x, landmarks) times the inverse root of the landmarks' own kernel matrix is the feature vector of x, and a linear
 support vector machine is trained on it. Its decision is linear in the subsequences of x, so after training the landmarks are folded into one
-weight for each of the 27 ** 3 subsequences; scoring gives the same numbers as evaluating the kernel against every landmark.
+weight for each bucket; scoring gives the same numbers as evaluating the kernel against every landmark.
 
-Training: labelled documents are cut into sentences; a sentence is as toxic as its worst word. Which word of a toxic
-document makes it toxic isn't labelled, so words are first ranked by how much oftener their subsequences occur in toxic
-documents, and then, round by round, by the machine itself. Hard clean words are added in each round, and copies of toxic words with a
-letter put in, so that altered insults are learnt too.
+Training: labelled documents are cut into sentences, which take over their document's label. A word costs as much on the toxic side as there are toxic
+sentences with it and as much on the clean side as there are clean ones, so its decision nears the difference of the two shares. In the next round a
+sentence of a toxic document counts as clean if no word in it is on the toxic side, unless it is the document's worst. Copies of surely toxic
+words with a letter put in are learnt too, so that altered insults are found. A document's score follows from how its worst words go beyond
+what chance finds in clean texts of as many words: one sure insult, or several words each of which a clean document may well have. Some labelled
+documents are kept back from the machine for this calibration.
 
 Nulls and edge cases: a null or empty text, or one without letters, has no word and gets the score of a clean one; a null doc_id is kept and
-counts as held out; repeated rows are scored each on their own; an empty table gives an empty result; input columns stay in
-the struct `row`. Nothing is shuffled; a worker remembers a bounded number of words.
+counts as held out; repeated rows are scored each on their own; equal decisions are interchangeable, and worst_word is the least of the worst; an
+empty table gives an empty result; input columns stay in the struct `row`. Nothing is shuffled; a worker remembers a bounded number of words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
 import re
 import unicodedata
 import zlib
@@ -37,33 +42,51 @@ from .common import held_out, labelled_sample, map_texts, packed
 #: The fit reads at most so many labelled documents, each of at most so many bytes. Scoring has no such bounds.
 FIT_ROWS, FIT_BYTES = 3500, 65536
 DECAY = 0.7
-REACH = 5
-LANDMARKS = 300
-#: Documents of each class from which words get their first rank.
-RANKED = 1000
-#: A word of no clean document is taken as toxic if so many toxic ones have it.
+REACH = 4
+LENGTHS = (3, 4)
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
+LANDMARKS = 400
+#: Strength of the machine's penalty.
+RIDGE = 0.3
+#: Words of few sentences from which the fit draws, beside all that are in more.
+RARE = 15_000
+#: Costs of the toxic side against the clean one.
+BALANCE = 5.0
+#: A word of no clean sentence is taken as surely toxic if so many toxic ones have it.
 CERTAIN = 5
 #: So many letters, beside the doubled one, are put in at each inner place of such a word.
 SURE_LETTERS = 4
-ALPHABET = 27
+#: Altered words that a round learns at most, and altered documents that the calibration sees.
+ALTERED = 6_000
+#: An altered form costs its word's costs divided by this.
+ALTERED_SHARE = 1.0
+#: The worst words of a document that make its score.
+WORST = 8
+#: One labelled document in so many is kept for the calibration.
+KEPT_BACK = 4
+#: Decisions at which shares of clean words are kept.
+LEVELS = np.linspace(-1.0, 1.25, 226)
+#: What the calibration's documents with one altered insult weigh, against those that are toxic.
+PUT_IN = 0.5
 #: A longer word is read in overlapping pieces of this length; the worst one counts.
 PIECE = 24
 REMEMBER = 300_000
 
 # Digits and signs that stand for letters inside a word.
 STAND_INS = str.maketrans("013457@$", "oieastas")
-_MARKS, _LETTER, _OTHER = re.compile("[\u0300-\u036f]"), re.compile("[a-z]"), re.compile("[^a-z]")
+_LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]")
 _RUN = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def fold(word: str) -> str:
-    """Letters a to z for letters, and a blank for any other character."""
+    """Letters in lower case, and a blank for any other character."""
     word = word.lower()
-    if not word.isascii():
-        word = _MARKS.sub("", unicodedata.normalize("NFKD", word))
     if word.isascii() and word.isalpha():
         return word
+    if not word.isascii():
+        word = unicodedata.normalize("NFC", word)
     if _LETTER.search(word):
         word = word.translate(STAND_INS)
     return _OTHER.sub(" ", word).strip()
@@ -77,27 +100,37 @@ def units(text: str) -> set[str]:
     return found
 
 
+def _buckets(letters: list[np.ndarray]) -> np.ndarray:
+    """The bucket of each sequence of code points (unsigned 32-bit), one array for each place in it."""
+    with np.errstate(over="ignore"):
+        h = np.full_like(letters[0], len(letters))
+        for x in letters:
+            h = (h ^ x) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        return (h * np.uint32(0x85EBCA6B) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
+
+
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, subsequence, weight) of all subsequences of three letters of folded words; a pair occurs as often as it is found."""
-    letters = [w.replace(" ", "") for w in words]
+    """(word, bucket, weight) of all subsequences of folded words with their marks; a pair occurs as often as it is found."""
+    letters = ["<" + w.replace(" ", "") + ">" for w in words]
     out: list[tuple] = []
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(letters):
-        if len(w) >= 3:
+        if len(w) >= 4:
             by_length.setdefault(len(w), []).append(i)
     for n, index in by_length.items():
-        raw = np.frombuffer("".join(letters[i] for i in index).encode(), np.uint8).reshape(-1, n).astype(np.int32) - 96
-        gapped = [i for i in index if " " in words[i]]
+        raw = np.frombuffer("".join(letters[i] for i in index).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
         place = np.tile(np.arange(n, dtype=np.int32), (len(index), 1))
-        if gapped:
-            at = {i: k for k, i in enumerate(index)}
-            for i in gapped:
-                place[at[i]] = [p for p, c in enumerate(words[i]) if c != " "]
-        triples = [(a, b, c) for a in range(n) for b in range(a + 1, min(a + REACH, n)) for c in range(b + 1, min(a + REACH + 1, n))]
-        a, b, c = (np.array(x) for x in zip(*triples))
-        code = (raw[:, a] * ALPHABET + raw[:, b]) * ALPHABET + raw[:, c]
-        weight = DECAY ** (place[:, c] - place[:, a] + 1.0)
-        out.append((np.repeat(np.array(index), len(triples)), code.ravel(), weight.ravel()))
+        for k, i in enumerate(index):
+            if " " in words[i]:
+                at = [p + 1 for p, c in enumerate(words[i]) if c != " "]
+                place[k] = [at[0] - 1, *at, at[-1] + 1]
+        for size in LENGTHS:
+            picked = [(a, *rest) for a in range(n) for rest in itertools.combinations(range(a + 1, min(a + REACH + 1, n)), size - 1)]
+            if picked:
+                at = np.array(picked).T
+                weight = DECAY ** (place[:, at[-1]] - place[:, at[0]] + 1.0)
+                out.append((np.repeat(np.array(index), len(picked)), _buckets([raw[:, i] for i in at]).ravel(), weight.ravel()))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -106,9 +139,9 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def profile(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As codes(), each pair once, with weights of length 1 for each word: dot products of profiles are normalised kernel values."""
     word, code, weight = codes(words)
-    key, at = np.unique(word.astype(np.int64) * ALPHABET**3 + code, return_inverse=True)
+    key, at = np.unique(word.astype(np.int64) * BUCKETS + code, return_inverse=True)
     total = np.bincount(at, weights=weight, minlength=len(key))
-    word, code = key // ALPHABET**3, key % ALPHABET**3
+    word, code = key // BUCKETS, key % BUCKETS
     norm = np.sqrt(np.bincount(word, weights=total**2, minlength=len(words)))
     return word, code, total / norm[word]
 
@@ -119,15 +152,15 @@ def pieces(word: str) -> list[str]:
 
 @dataclass
 class Machine:
-    """weights[subsequence] and bias make a word's decision; slope and offset turn a document's worst decision into a probability."""
+    """weights[bucket] and bias make a word's decision; calibration turns the evidence of a document's worst words into a probability, tail the share of clean words at each of LEVELS."""
 
     weights: np.ndarray
     bias: float
-    slope: float
-    offset: float
+    tail: np.ndarray
+    calibration: np.ndarray
 
     def decisions(self, words: list[str]) -> np.ndarray:
-        """Of folded words; the worst piece of a long one. A word of fewer than three letters has the bias."""
+        """Of folded words; the worst piece of a long one. A word of fewer than two letters has the bias."""
         flat = [(i, p) for i, w in enumerate(words) for p in pieces(w)]
         word, code, weight = profile([p for _, p in flat])
         value = np.bincount(word, weights=weight * self.weights[code], minlength=len(flat))
@@ -135,41 +168,73 @@ class Machine:
         np.maximum.at(out, np.array([i for i, _ in flat], np.int64), value)
         return np.where(np.isfinite(out), out, 0) + self.bias
 
+    def probability(self, worst: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of documents, from rows of their WORST worst decisions and their numbers of distinct words."""
+        z = evidence(worst, size, self.tail) @ self.calibration[:-1] + self.calibration[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def evidence(worst: np.ndarray, size: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Of documents: how far their worst words go beyond what chance finds in a clean text of as many words.
+
+    tail[i] is the log share of clean documents' words from LEVELS[i] on. k words from a level on, where e are expected, have a chance of about
+    e ** k / k!; minus its log counts, for the number k of worst words that makes it greatest, and for the worst word alone.
+    """
+    k = np.arange(1, WORST + 1)
+    level = np.clip(np.searchsorted(LEVELS, worst, side="right") - 1, 0, len(LEVELS) - 1)
+    expected = np.log(np.maximum(size, 1))[:, None] + tail[level]
+    surprise = np.cumsum(np.log(k)) - k * expected
+    return np.column_stack([np.maximum(surprise.max(axis=1), 0), np.maximum(surprise[:, 0], 0)])
+
+
+def _tail(decisions: np.ndarray) -> np.ndarray:
+    """The log share of decisions from each of LEVELS on; one that none reaches counts as a tenth of one."""
+    above = len(decisions) - np.searchsorted(np.sort(decisions), LEVELS, side="left")
+    return np.log((above + 0.1) / (len(decisions) + 0.1))
+
+
+def _spread(words: list[str], ranked: np.ndarray, n: int, near: float = 0.4, crowd: int = 12, tried: int = 4000) -> np.ndarray:
+    """Up to n of ranked, from the first on, of which no more than `crowd` are near each other: every kind of insult gets landmarks, however rare it is."""
+    table = np.zeros((BUCKETS, n), np.float32)
+    taken: list[int] = []
+    for i in ranked[:tried].tolist():
+        if len(taken) == n:
+            break
+        _, code, weight = profile([words[i]])
+        if len(code) and (weight @ table[code, : len(taken)] > near).sum() < crowd:
+            table[code, len(taken)] = weight
+            taken.append(i)
+    return np.array(taken, np.int64)
+
 
 def _features(words: list[str], table: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Normalised kernel of words with the landmarks whose profiles are the columns of table, times root, and a last column of ones."""
-    out = np.zeros((len(words), table.shape[1] + 1))
-    for at in range(0, len(words), 2000):
-        word, code, weight = profile(words[at : at + 2000])
+    out = np.zeros((len(words), table.shape[1] + 1), np.float32)
+    for at in range(0, len(words), 1000):
+        word, code, weight = profile(words[at : at + 1000])
         if len(word):
             first = np.flatnonzero(np.append(True, np.diff(word) > 0))
-            out[at + word[first], :-1] = np.add.reduceat(weight[:, None] * table[code], first, axis=0) @ root
+            out[at + word[first], :-1] = np.add.reduceat(weight[:, None].astype(np.float32) * table[code], first, axis=0) @ root
     out[:, -1] = 1
     return out
 
 
-def _ranks(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Sum of weights over each word's profile, for some words at a time."""
-    out = []
-    for at in range(0, len(words), 20_000):
-        part = words[at : at + 20_000]
-        word, code, weight = profile(part)
-        out.append(np.bincount(word, weights=weight * weights[code], minlength=len(part)))
-    return np.concatenate(out) if out else np.zeros(0)
-
+def _linear_svm(x: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Squared-hinge support vector machine in the primal, by Newton steps over the active rows, some at a time.
 
-def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Squared-hinge support vector machine in the primal, by Newton steps over the active rows, some at a time; x ends with a column of ones."""
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
+    Each row stands on both sides, toxic at cost[:, 0] and clean at cost[:, 1]; x ends with a column of ones.
+    """
+    w, ridge = np.zeros(x.shape[1]), RIDGE * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
         left, right = ridge.copy(), np.zeros(x.shape[1])
         for at in range(0, len(x), 4000):
-            part = slice(at, at + 4000)
-            active = y[part] * (x[part] @ w) < 1
-            a, c = x[part][active], cost[part][active]
-            left += (a * c[:, None]).T @ a
-            right += a.T @ (c * y[part][active])
+            part = x[at : at + 4000].astype(np.float64)
+            z = part @ w
+            for side, y in ((0, 1.0), (1, -1.0)):
+                c = cost[at : at + 4000, side] * (y * z < 1)
+                left += (part * c[:, None]).T @ part
+                right += part.T @ (c * y)
         new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
@@ -177,74 +242,111 @@ def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30
     return w[:-1], float(w[-1])
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 3) -> Machine:
+def _harmless() -> Machine:
+    return Machine(np.zeros(BUCKETS), -0.9, np.zeros(len(LEVELS)), np.array([1.0, 0.0, -3.0]))
+
+
+def _top(decisions: np.ndarray, bias: float) -> np.ndarray:
+    """The WORST greatest decisions, from the worst on; what is missing has the bias."""
+    top = np.sort(decisions)[::-1][:WORST]
+    return np.append(top, np.full(WORST - len(top), bias))
+
+
+def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 2) -> Machine:
     """Fit to labelled documents. Without toxic ones (or without clean ones) nothing can be learnt and every word is clean."""
     y = np.asarray(labels, int)
     if len(y) == 0 or y.min() == y.max():
-        return Machine(np.zeros(ALPHABET**3), -1.0, 4.0, 0.0)
+        return _harmless()
     kept = _distinct(texts)
     texts, y = [texts[i] for i in kept], y[kept]
-    raw = [set().union(*map(units, _SENTENCE.split(t))) for t in texts]
-    parts = {u: [f for f in pieces(fold(u)) if len(f.replace(" ", "")) >= 3] for u in set().union(*raw)}
-    bags = [{f for u in b for f in parts[u]} for b in raw]
-    del raw, parts
-    clean = set().union(*[b for b, k in zip(bags, y) if k == 0])
-    words = sorted(set().union(*bags))
-    number = {w: i for i, w in enumerate(words)}
-    is_clean = np.array([w in clean for w in words])
-    # Documents of each class that have a subsequence, and from that each word's first rank.
-    have, seen = np.zeros((2, ALPHABET**3)), [0, 0]
-    for b, k in zip(bags, y):
-        if seen[k] == RANKED:
-            continue
-        seen[k] += 1
-        have[k][np.unique(codes(sorted(b))[1])] += 1
-    lift = np.log((have[1] + 0.5) / (seen[1] + 1)) - np.log((have[0] + 0.5) / (seen[0] + 1))
-    rank = _ranks(words, lift)
-    toxic_bags = [np.array([number[w] for w in b]) for b, k in zip(bags, y) if k == 1 and b]
-    # Words of several toxic documents and of no clean one: chance alone makes next to none of them.
-    often = np.bincount(np.concatenate([*toxic_bags, np.zeros(0, int)]).astype(int), minlength=len(words))
-    certain = np.flatnonzero((often >= CERTAIN) & ~is_clean)
-    rng = np.random.default_rng(7)
-    ordinary = np.flatnonzero(is_clean)
-    background = rng.choice(ordinary, min(12000, len(ordinary)), replace=False)
-    hard = np.zeros(0, int)
-    machine = None
+    held = np.arange(len(y)) % KEPT_BACK == KEPT_BACK - 1
+    kept_back, y_back = [t for t, h in zip(texts, held) if h], y[held]
+    texts, y = [t for t, h in zip(texts, held) if not h], y[~held]
+    number: dict[str, int] = {}
+    folded: dict[str, list[int]] = {}
+    doc_of, sentences = [], []
+    for d, text in enumerate(texts):
+        for sentence in _SENTENCE.split(text):
+            ids: set[int] = set()
+            for u in units(sentence):
+                if (known := folded.get(u)) is None:
+                    known = folded[u] = [number.setdefault(f, len(number)) for f in pieces(fold(u)) if len(f.replace(" ", "")) >= 2]
+                ids.update(known)
+            if ids:
+                doc_of.append(d)
+                sentences.append(np.fromiter(ids, np.int64, len(ids)))
+    del folded
+    words = list(number)
+    if not words:
+        return _harmless()
+    size = np.array([len(s) for s in sentences])
+    flat, owner = np.concatenate(sentences), np.repeat(np.arange(len(sentences)), size)
+    first, doc_of = np.cumsum(size) - size, np.array(doc_of)
+    of_toxic = y[doc_of] == 1
+    toxic, rng, decision = of_toxic.copy(), np.random.default_rng(7), None
+    machine, hard = _harmless(), np.zeros(0, np.int64)
     for _ in range(rounds):
-        suspect = [b[~is_clean[b]] for b in toxic_bags]
-        chosen = np.unique(np.concatenate([*[s[np.argsort(-rank[s])[:1]] for s in suspect if len(s)], certain]).astype(int))
-        if not len(chosen):
+        a = np.bincount(flat[toxic[owner]], minlength=len(words)).astype(float)
+        b = np.bincount(flat[~toxic[owner]], minlength=len(words)).astype(float)
+        lift = np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))
+        gain = a * np.maximum(lift, 0)
+        certain = np.flatnonzero((a >= CERTAIN) & (b == 0))
+        certain = certain[np.argsort(-a[certain], kind="stable")]
+        often = np.flatnonzero((a >= 2) | (b >= 3))
+        rare = np.setdiff1d(np.arange(len(words)), often)
+        drawn = rng.choice(rare, min(RARE, len(rare)), replace=False)
+        rows = np.concatenate([often, drawn])
+        scale = np.repeat([1.0, len(rare) / max(1, len(drawn))], [len(often), len(drawn)])
+        suspects = _spread(words, np.argsort(-gain, kind="stable")[: int((gain > 0).sum())], landmarks // 2)
+        if not len(suspects):
             break
-        other = np.unique(np.concatenate([background, hard]))
-        # The words found oftenest first: each kind of insult has a landmark of its own.
-        order = np.lexsort([rng.random(len(chosen)), -often[chosen]])
-        marks = np.concatenate([chosen[order[: landmarks * 2 // 3]], rng.choice(other, min(landmarks // 3, len(other)), replace=False)])
-        sure = np.isin(chosen, certain)
-        # Altered forms of the oftenest word cost as much as plain words, of others less by the square: a word of few documents may well be clean.
-        forms = [_altered(words[i], rng, SURE_LETTERS if k else 1) for i, k in zip(chosen, sure)]
-        share = np.repeat((often[chosen] / often[chosen].max()) ** 2, [len(f) for f in forms])
-        altered = [v for f in forms for v in f]
-        extra = [altered[i] for i in rng.choice(len(altered), min(landmarks // 2, len(altered)), replace=False, p=share / share.sum())]
-        table = np.zeros((ALPHABET**3, len(marks) + len(extra)))
+        # Clean landmarks: those that the round before found most toxic, and others as often as they occur.
+        clean = np.flatnonzero((b > 0) & (lift <= 0))
+        worst_clean = clean[np.argsort(-decision[clean], kind="stable")[: landmarks // 8]] if decision is not None else clean[:0]
+        hard = np.union1d(hard, worst_clean).astype(np.int64)
+        drawn_clean = rng.choice(clean, min(landmarks // 4, len(clean)), replace=False, p=b[clean] / b[clean].sum()) if len(clean) else clean
+        marks = np.unique(np.concatenate([suspects, hard, drawn_clean]))
+        # Altered forms of surely toxic words.
+        altered, cost = [], []
+        for i in certain:
+            forms = _altered(words[i], rng, SURE_LETTERS)
+            if len(altered) + len(forms) > ALTERED:
+                break
+            altered += forms
+            cost += [a[i] / ALTERED_SHARE] * len(forms)
+        cost = np.array(cost)
+        extra = [altered[i] for i in rng.choice(len(altered), min(landmarks // 4, len(altered)), replace=False, p=cost / cost.sum())] if altered else []
+        table = np.zeros((BUCKETS, len(marks) + len(extra)), np.float32)
         word, code, weight = profile([*(words[i] for i in marks), *extra])
         table[code, word] = weight
-        value, vector = np.linalg.eigh(table.T @ table)
+        value, vector = np.linalg.eigh((table.T @ table).astype(np.float64))
         root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T  # inverse root of the landmarks' kernel matrix
-        rows = np.concatenate([chosen, other])
-        target = np.repeat([1.0, -1.0, 1.0], [len(chosen), len(other), len(altered)])
-        cost = np.concatenate([np.repeat([12.0, 4.0], [len(chosen), len(other)]), 12.0 * share])
-        w, b = _linear_svm(_features([*(words[i] for i in rows), *altered], table, root), target, cost)
-        machine = Machine(table @ (root @ w), b, 1.0, 0.0)
-        rank = _ranks(words, machine.weights) + b
-        hard = np.union1d(hard, ordinary[np.argsort(-rank[ordinary])[:3000]]).astype(int)
-    if machine is None:
-        return Machine(np.zeros(ALPHABET**3), -1.0, 4.0, 0.0)
-    worst = np.array([max((rank[number[w]] for w in b), default=machine.bias) for b in bags])
-    # A toxic document with its insults altered: each altered form of a sure word, weighed as the documents that have the word.
-    forms = [(i, machine.decisions(_altered(words[i], rng, SURE_LETTERS))) for i in chosen[sure]]
-    more = np.concatenate([*[d for _, d in forms], np.zeros(0)])
-    weight = np.concatenate([np.ones(len(y)), *[np.full(len(d), often[i] ** 2 / often[chosen].max() / len(d)) for i, d in forms]])
-    machine.slope, machine.offset = _platt(np.concatenate([worst, more]), np.concatenate([y, np.ones(len(more), int)]), weight)
+        x = _features([*(words[i] for i in rows), *altered], table, root.astype(np.float32))
+        sides = np.concatenate([np.stack([BALANCE * a[rows] * scale, b[rows] * scale], axis=1), np.stack([BALANCE * cost, 0 * cost], axis=1)])
+        w, bias = _linear_svm(x, sides)
+        machine = Machine(table @ (root @ w), bias, machine.tail, machine.calibration)
+        decision = np.concatenate([machine.decisions(words[i : i + 20_000]) for i in range(0, len(words), 20_000)])
+        # A sentence's decision is that of its worst word.
+        of_sentence = np.maximum.reduceat(decision[flat], first)
+        best = np.full(len(y), -np.inf)
+        np.maximum.at(best, doc_of, of_sentence)
+        toxic = of_toxic & ((of_sentence > 0) | (of_sentence == best[doc_of]))
+    if decision is None:
+        return machine
+    # Calibration sees documents whose labels the machine hasn't seen, and clean ones with one altered insult.
+    scorer = Scorer(machine)
+    worst, size = scorer.worst(kept_back), scorer.sizes
+    of_clean = [machine.decisions([fold(w) for w in units(t)]) for t, k in zip(kept_back, y_back) if k == 0]
+    machine.tail = _tail(np.concatenate([*of_clean, np.full(1, machine.bias)]))
+    more, weight = np.zeros(0, np.int64), np.zeros(0)
+    if altered and (plain := np.flatnonzero(y_back == 0)).size:
+        more = rng.choice(plain, len(altered))
+        added = np.column_stack([machine.decisions(altered), worst[more, : WORST - 1]])
+        worst, size = np.concatenate([worst, np.sort(added, axis=1)[:, ::-1]]), np.concatenate([size, size[more] + 1])
+        weight = PUT_IN * cost * max(1, (y_back == 1).sum()) / cost.sum()
+    target = np.concatenate([y_back, np.ones(len(more), int)])
+    if len(target) and target.min() < target.max():
+        machine.calibration = _platt(evidence(worst, size, machine.tail), target, np.concatenate([np.ones(len(y_back)), weight]))
     return machine
 
 
@@ -270,18 +372,21 @@ def _altered(word: str, rng: np.random.Generator, letters: int) -> list[str]:
     return out
 
 
-def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Logistic calibration of weighted rows with softened targets, by Newton's method."""
+def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic calibration of weighted rows with softened targets, by Newton's method; the constant is last."""
     up, down = (weight * y).sum(), (weight * (1 - y)).sum()
     t = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
-    w, z = np.array([1.0, 0.0]), np.column_stack([x, np.ones(len(x))])
+    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
+    z = np.column_stack([(x - middle) / spread, np.ones(len(x))])
+    w, penalty = np.zeros(z.shape[1]), np.append(np.full(x.shape[1], 0.1), 1e-6)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (weight * (t - p)) - 1e-3 * w)
-        w += np.clip(step, -2, 2)
+        step = np.linalg.solve((z * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z + np.diag(penalty), z.T @ (weight * (t - p)) - penalty * w)
+        w += step
         if np.abs(step).max() < 1e-7:
             break
-    return float(w[0]), float(w[1])
+    slope = w[:-1] / spread
+    return np.append(slope, w[-1] - slope @ middle)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Machine:
@@ -293,12 +398,12 @@ class Scorer:
     """A machine in a worker, with a bounded memory of the words it has judged."""
 
     def __init__(self, machine: Machine):
-        self.machine, self.young, self.old, self.words = machine, {}, {}, []
+        self.machine, self.young, self.old, self.words, self.sizes = machine, {}, {}, [], np.zeros(0)
 
-    def worst(self, texts: list[str]) -> list[float]:
-        """The worst decision of each text; without words, the bias."""
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """The WORST worst decisions of each text; what is missing has the bias."""
         bags = [units(t) for t in texts]
-        young, old, missing = self.young, self.old, []
+        young, old, missing, bias = self.young, self.old, [], self.machine.bias
         for w in set().union(*bags):
             if w not in young:
                 if (d := old.get(w)) is not None:
@@ -308,11 +413,12 @@ class Scorer:
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             young.update(zip(part, self.machine.decisions([fold(w) for w in part]).tolist()))
-        out = [max(map(young.__getitem__, b), default=self.machine.bias) for b in bags]
-        self.words = [min(w for w in b if young[w] == d) if b and d > 0 else "" for b, d in zip(bags, out)]
+        found = [heapq.nlargest(WORST, map(young.__getitem__, b)) for b in bags]
+        self.sizes = np.array([len(b) for b in bags], float)
+        self.words = [min(w for w in b if young[w] == d[0]) if d and d[0] > 0 else "" for b, d in zip(bags, found)]
         if len(young) > REMEMBER:
             self.old, self.young = {w: d for w, d in young.items() if len(w) <= 64}, {}
-        return out
+        return np.array([d + [bias] * (WORST - len(d)) for d in found]).reshape(len(texts), WORST)
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -322,17 +428,15 @@ ADDED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("wor
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """row, doc_id, held_out, score (0 to 1), predicted (1 from 0.7 on) and worst_word ('' unless one is on the toxic side) for every row of docs."""
-    key = hashlib.sha256(machine.weights.tobytes() + repr((machine.bias, machine.slope, machine.offset)).encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # 27 ** 3 numbers
+    key = hashlib.sha256(machine.weights.tobytes() + repr((machine.bias, machine.tail.tolist(), machine.calibration.tolist())).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS numbers
 
     def compute(texts: list[str]) -> dict:
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shared.value)
         scorer = _SCORERS[key]
-        worst = scorer.worst(texts)
-        z = np.clip(scorer.machine.slope * np.array(worst) + scorer.machine.offset, -30, 30)
-        return {"score": 1 / (1 + np.exp(-z)), "worst_word": scorer.words}
+        return {"score": scorer.machine.probability(scorer.worst(texts), scorer.sizes), "worst_word": scorer.words}
 
     out = map_texts(packed(docs), compute, ADDED, ("row", "doc_id"))
     return out.select("row", "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "worst_word")

@@ -1,7 +1,10 @@
 """Each operator against a plain version of its contract, over whole small tables and over odd rows."""
 
+import glob
 import hashlib
+import os
 import re
+import shutil
 import struct
 import zlib
 
@@ -48,7 +51,9 @@ def test_roles_are_recovered(spark, sf_dir):
     got = {(r.conv_id, r.turn): r for r in queries.op1_chat_format(spark, sf_dir).collect()}
     truth = {(r.conv_id, r.turn): r for r in turns.collect()}
     assert got.keys() == truth.keys()
-    assert sum(got[k].role == truth[k].role for k in truth) >= 0.95 * len(truth)
+    marked = {(r.conv_id, r.turn): r.marked for r in queries.raw_transcripts(turns).collect()}
+    right = [got[k].role == truth[k].role for k in truth if marked[k]]
+    assert sum(right) >= 0.95 * len(right)
     whole = "".join(got[k].rendered for k in sorted(k for k in got if k[0] == 0))
     assert whole.startswith("<|") and whole.endswith("<|end|>\n") and whole.count("<|end|>") == sum(got[k].n_turns for k in got if k[0] == 0)
 
@@ -75,8 +80,8 @@ def test_blocks_decode_as_one_pass(spark, sf_dir, monkeypatch):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, text string")
     got = chat_format.parse(turns, model).collect()
     assert sum(r.n_copies for r in got) == len(rows)
-    lines = [(i == 0, line) for _, t, text in rows[:23] for i, line in enumerate(text.split("\n"))]
-    states = plain_viterbi([chat_format.observe(line, first)[0] for first, line in lines], model)
+    lines = [line for _, t, text in rows[:23] for line in text.split("\n")]
+    states = plain_viterbi([chat_format.observe(line)[0] for line in lines], model)
     assert [r.role for r in sorted((r for r in got if r.conv_id == 7), key=lambda r: r.turn)] == [chat_format.STATES[s][0] for s in states[::2]]
     assert len([r for r in got if r.conv_id == 8]) == 40 and chat_format.parse(turns.limit(0), model).count() == 0
 
@@ -100,12 +105,31 @@ def test_null_and_negative_turns(spark, sf_dir, monkeypatch, size):
     got = {(r.conv_id, r.turn): r for r in chat_format.parse(spark.createDataFrame(rows, "conv_id long, turn long, text string"), model).collect()}
     assert len(got) == len(rows)
     for c, ts in turns.items():
-        lines = [(i == 0, line) for d, _, text in rows if d == c for i, line in enumerate(text.split("\n"))]
-        states = plain_viterbi([chat_format.observe(line, first)[0] for first, line in lines], model)
+        lines = [line for d, _, text in rows if d == c for line in text.split("\n")]
+        states = plain_viterbi([chat_format.observe(line)[0] for line in lines], model)
         assert [got[c, t].role for t in ts] == [chat_format.STATES[s][0] for s in states[::2]]
         assert got[c, ts[0]].rendered.startswith("<|") and got[c, ts[-1]].rendered.endswith("<|end|>\n")
 
 
+def test_held_out_roles_beside_a_majority_rule(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    raw = queries.raw_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")).collect()
+    got = {(r.conv_id, r.turn): r.role for r in queries.op1_chat_format(spark, sf_dir).collect()}
+    held = [r for r in raw if zlib.crc32(str(r.conv_id).encode()) % 3 == 1]
+    share = {m: np.mean([got[r.conv_id, r.turn] == r.role for r in held if r.marked == m]) for m in (True, False)}
+    unmarked = [r.role for r in held if not r.marked]
+    majority = max(map(unmarked.count, set(unmarked))) / len(unmarked)
+    print(share, majority)
+    assert share[True] >= 0.97 and share[False] >= majority + 0.08
+
+
+def test_equal_paths_go_to_the_earlier_states(spark):
+    n = len(chat_format.STATES)
+    flat = chat_format.Hmm(np.zeros(n), np.zeros((n, n)), [{} for _ in range(chat_format.FEATURES)], [np.zeros(n)] * chat_format.FEATURES)
+    turns = spark.createDataFrame([(1, t, f"line {t}\nmore") for t in range(5)], "conv_id long, turn long, text string")
+    assert {r.role for r in chat_format.parse(turns, flat).collect()} == {chat_format.STATES[0][0]}
+
+
 # 2 sharding
 
 
@@ -122,14 +146,66 @@ def test_shards(spark, sf_dir, texts):
     assert [i for _, _, i in order] != sorted(i for _, _, i in order)
 
 
+def spark_hash(*parts):
+    """XXH64 of Spark: integers as 4 or 8 little-endian bytes, text as UTF-8, chained through the seed; a null leaves it as it is."""
+    h = 42
+    for kind, v in parts:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<i" if kind == "int" else "<q", v) if kind != "text" else v.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_shard(doc_id, n):
+    return max(range(n), key=lambda i: spark_hash(("int", sharding.SEED), ("int", i), ("long", doc_id)))
+
+
+def test_shards_recomputed(spark, sf_dir, texts):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    size = 64 << 10
+    rows = sharding.shards_of(docs, 8, bucket_bytes=size).select("doc_id", "shard", "bucket", "slot", "grown_shard").collect()
+    each = -(-sum(len(t.encode()) + 1 for t in texts.values()) // (8 * size))
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (plain_shard(r.doc_id, 8), plain_shard(r.doc_id, 9))
+        assert r.bucket == r.shard * each + spark_hash(("int", sharding.SEED + 1), ("long", r.doc_id), ("text", texts[r.doc_id]), ("long", 0)) % each
+    order = sorted((r.shard, r.slot, r.bucket) for r in rows)
+    assert [b for _, _, b in order] == sorted(b for _, _, b in order) and len({(r.shard, r.slot) for r in rows}) == len(texts)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, sharding.shards_of(docs.repartition(3), 8, bucket_bytes=size).select("doc_id", "shard", "bucket", "slot", "grown_shard").collect()))
+
+
+def test_files_are_in_slot_order(spark, sf_dir):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = new_path(spark, "shards")
+    sharding.write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, 4, bucket_bytes=64 << 10)
+    files = glob.glob(f"{path}/records/shard=*/*.parquet")
+    assert len(files) > 4
+    for f in files:
+        t = pq.ParquetFile(f).read(columns=["bucket", "place"]).to_pydict()
+        assert len(set(t["bucket"])) == 1 and t["place"] == list(range(len(t["place"])))
+
+
+def test_equal_rows_are_split(spark):
+    same = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.repeat(F.lit("ab "), 100).alias("text"))
+    docs = same.unionByName(spark.range(300).select(F.col("id").alias("doc_id"), F.lit("short").alias("text")))
+    got = sharding.shards_of(docs, 2, bucket_bytes=64 << 10)
+    biggest = got.groupBy("bucket").agg(F.sum("size").alias("b")).agg(F.max("b")).first()[0]
+    assert biggest <= 3 * (64 << 10) and got.count() == 4300
+    slots = got.where("shard = 0").select("slot").collect()
+    assert sorted(r.slot for r in slots) == list(range(len(slots)))
+
+
 def test_shards_of_odd_rows(spark, odd):
-    rows = sharding.shuffle_shards(odd, 3, bucket_bytes=64).select("doc_id", "shard", "slot", "row.score").collect()
+    def shards():
+        return sharding.shards_of(odd, 3, bucket_bytes=64).select("doc_id", "shard", "slot", "row.score")
+
+    rows = shards().collect()
     assert len(rows) == len(ODD)
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
-    again = sharding.shuffle_shards(odd, 3, bucket_bytes=64).select("doc_id", "shard", "slot").collect()
-    assert sorted(map(str, again)) == sorted(str(r) for r in sharding.shuffle_shards(odd, 3, bucket_bytes=64).select("doc_id", "shard", "slot").collect())
-    assert sharding.shuffle_shards(odd.limit(0)).count() == 0
+    assert sorted(map(str, rows)) == sorted(map(str, shards().collect()))
+    assert sharding.shards_of(odd.limit(0)).count() == 0
 
 
 # 3 SimHash
@@ -225,15 +301,40 @@ def test_token_store_odd_rows(spark, odd, word_tokenizer):
     want = sorted(struct.pack(f"<{len(x) + 1}I", *x, 1) for x in (plain_ids(word_tokenizer, t) for _, t, _ in ODD))
     assert sorted(bytes(r.ids) for r in got) == want
     assert {(r.start, r.ids_crc32) for r in token_store.read_digests(spark, path).collect()} == {(r.start, zlib.crc32(bytes(r.ids))) for r in got}
-    broken = spark.read.parquet(f"{path}/chunks").limit(1).select("hash")
     other = new_path(spark, "store")
-    for t in ("recipes", "manifest"):
-        spark.read.parquet(f"{path}/{t}").write.parquet(f"{other}/{t}")
-    spark.read.parquet(f"{path}/chunks").join(broken, "hash", "left_anti").write.parquet(f"{other}/chunks")
+    shutil.copytree(path, other)
+    os.remove(glob.glob(f"{other}/chunks/*.parquet")[0])
     with pytest.raises(Exception, match="put together"):
         token_store.read_digests(spark, other).count()
 
 
+def test_store_shares_chunks_and_copies(spark, word_tokenizer):
+    base = " ".join(f"word{i % 997} and" for i in range(4000))
+    docs = spark.createDataFrame([(1, base), (2, base), (3, base + " tail"), (4, "x " + base)], "doc_id long, text string")
+    path = new_path(spark, "store")
+    token_store.write(docs, path, queries.tokenizer_path("word_bpe_49k.json"))
+    got = {r.doc_id: bytes(r.ids) for r in token_store.read(spark, path).collect()}
+    for i, t in ((1, base), (2, base), (3, base + " tail"), (4, "x " + base)):
+        ids = [*plain_ids(word_tokenizer, t), 1]
+        assert got[i] == struct.pack(f"<{len(ids)}I", *ids)
+    listed = spark.read.parquet(f"{path}/recipes").select(F.explode("hashes").alias("h"))
+    assert spark.read.parquet(f"{path}/chunks").count() == listed.distinct().count() < 0.5 * listed.count()
+    empty = new_path(spark, "store")
+    token_store.write(docs.limit(0), empty, queries.tokenizer_path("word_bpe_49k.json"))
+    assert token_store.read_digests(spark, empty).count() == 0
+
+
+def test_word_encoder_fuzz(word_tokenizer):
+    import random
+
+    own, rnd = token_store.WordEncoder(queries.tokenizer_path("word_bpe_49k.json")), random.Random(8)
+    letters = [*"aBz1 .'st-\n\t \x1c\x1f\x85\xa0éÉßİ中😀²́_<|>\r", "<|endoftext|>", "e\u0301", "the", "  ", "ﬁ"]
+    made = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(4000)]
+    ids, bounds = own.encode_all(made)
+    for t, a, b in zip(made, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == plain_ids(word_tokenizer, t), repr(t)
+
+
 # 5 decontamination
 
 
@@ -316,13 +417,14 @@ def test_bpe_fuzz():
 # 7 and 8 classifiers
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op7_line_crf_quality", "quality", 0.95), ("op8_toxicity", "toxic", 0.93)])
+@pytest.mark.parametrize(("name", "label", "least"), [("op7_line_crf_quality", "quality", 0.95), ("op8_toxicity", "toxic", 0.97)])
 def test_held_out_accuracy(spark, name, label, least):
     sf_dir = "/root/testdata/sf0.1"
     truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = result(spark, sf_dir, name)
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 for i, r in got.items())
     held = [(r.predicted, truth[i]) for i, r in got.items() if r.held_out and i in truth]
+    assert sum(t == 1 for _, t in held) < least * len(held) and sum(t == 0 for _, t in held) < least * len(held)  # no constant answer passes
     assert sum(p == t for p, t in held) >= least * len(held)
 
 
@@ -347,47 +449,83 @@ def test_marginals_and_viterbi_against_enumeration():
     assert np.isclose(total, log_z) and np.isclose(pairs.sum(), sum(lengths) - len(lengths))
 
 
-def test_kernel_against_definition():
+def plain_profile(word):
     import itertools
 
-    import numpy as np
+    at = [(i + 1, c) for i, c in enumerate(word) if c != " "]
+    if not at:
+        return {}
+    at = [(at[0][0] - 1, "<"), *at, (at[-1][0] + 1, ">")]
+    out = {}
+    for size in toxicity.LENGTHS:
+        for picked in itertools.combinations(range(len(at)), size):
+            if picked[-1] - picked[0] <= toxicity.REACH and len(at) >= 4:
+                code = int(toxicity._buckets([np.array([ord(at[i][1])], np.uint32) for i in picked])[0])
+                out[code] = out.get(code, 0) + toxicity.DECAY ** (at[picked[-1]][0] - at[picked[0]][0] + 1)
+    norm = np.sqrt(sum(v * v for v in out.values())) or 1
+    return {k: v / norm for k, v in out.items()}
 
-    def plain(word):
-        at = [(i, c) for i, c in enumerate(word) if c != " "]
-        out = {}
-        for (i, a), (j, b), (k, c) in itertools.combinations([(n, x) for n, x in enumerate(at)], 3):
-            if k - i <= toxicity.REACH and j - i < toxicity.REACH:
-                out[a[1] + b[1] + c[1]] = out.get(a[1] + b[1] + c[1], 0) + toxicity.DECAY ** (c[0] - a[0] + 1)
-        return out
 
-    words = ["idiot", "i d i o t", "banana", "ab", "pathetic"]
+def test_kernel_against_definition():
+    words = ["idiot", "i d i o t", "banana", "ab", "pathetic", "réêou", "", "中文字"]
     word, code, weight = toxicity.profile(words)
     for i, w in enumerate(words):
-        want = plain(w)
-        norm = np.sqrt(sum(v * v for v in want.values())) or 1
-        have = {chr(96 + c // 729) + chr(96 + c // 27 % 27) + chr(96 + c % 27): x for c, x in zip(code[word == i], weight[word == i])}
-        assert have.keys() == want.keys() and all(abs(have[k] - want[k] / norm) < 1e-9 for k in want)
+        have, want = dict(zip(code[word == i], weight[word == i])), plain_profile(w)
+        assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_folded_weights_are_the_kernel_expansion():
+    """A machine's weights against its decision written with k(x, landmark) for every landmark."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdeé"), 6)) for _ in range(60)]
+    kernel = np.array([[sum(v * plain_profile(b).get(k, 0) for k, v in plain_profile(a).items()) for b in words[:20]] for a in words])
+    table = np.zeros((toxicity.BUCKETS, 20), np.float32)
+    word, code, weight = toxicity.profile(words[:20])
+    table[code, word] = weight
+    value, vector = np.linalg.eigh((table.T @ table).astype(float))
+    root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+    x = toxicity._features(words, table, root.astype(np.float32))
+    assert np.allclose(x[:, :-1], kernel @ root, atol=1e-4)
+    w, bias = toxicity._linear_svm(x, np.stack([np.arange(60) % 2, 1 - np.arange(60) % 2], axis=1).astype(float))
+    machine = toxicity.Machine(table @ (root @ w), bias, np.zeros(len(toxicity.LEVELS)), np.zeros(3))
+    assert np.allclose(machine.decisions(words), kernel @ (root @ w) + bias, atol=1e-3)
 
 
-def test_altered_insults_of_held_out_rows(spark):
+@pytest.fixture(scope="module")
+def trained(spark):
     sf_dir = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scorer = toxicity.Scorer(toxicity.fit(docs, labels))
-    rows = [r for r in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "toxic", "lang").collect()
+    return toxicity.Scorer(toxicity.fit(docs, labels)), [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+
+
+def found(scorer, texts):
+    return scorer.machine.probability(scorer.worst(texts), scorer.sizes) >= 0.7
+
+
+def test_toxicity_by_language(trained):
+    scorer, rows = trained
+    got = found(scorer, [r.text for r in rows])
+    toxic = np.array([r.toxic == 1 for r in rows])
+    lang = np.array([r.lang for r in rows])
+    recall = {k: float(got[toxic & (lang == k)].mean()) for k in sorted(set(lang))}
+    wrong = {k: float(got[~toxic & (lang == k)].mean()) for k in sorted(set(lang))}
+    print("recall", float(got[toxic].mean()), recall, "precision", float(toxic[got].mean()), "clean taken for toxic", wrong)
+    assert got[toxic].mean() >= 0.9 and toxic[got].mean() >= 0.9 and min(recall.values()) >= 0.8 and max(wrong.values()) <= 0.04
+
+
+def test_altered_insults_of_held_out_rows(trained):
+    scorer, rows = trained
     insult = re.compile(r"\b(idiot|stupid|scum|clown|disgusting|loser|worthless|trash|moron|pathetic)\b")
     toxic = [r.text for r in rows if r.toxic and insult.search(r.text)]
 
-    def caught(texts):
-        z = scorer.machine.slope * np.array(scorer.worst(texts)) + scorer.machine.offset
-        return float((1 / (1 + np.exp(-z)) >= 0.7).mean())
-
     def put(add):
         return [insult.sub(lambda m, k=k: (w := m[0])[: (at := 1 + k % (len(w) - 1))] + add(k, w[at - 1]) + w[at:], t) for k in range(40) for t in toxic]
 
-    recall = {"inserted": caught(put(lambda k, _: chr(97 + k * 7 % 26))), "doubled": caught(put(lambda _, c: c)), "spaced": caught([insult.sub(lambda m: " ".join(m[0]), t) for t in toxic])}
-    wrong = caught([r.text for r in rows if not r.toxic])
-    print(len(toxic), recall, wrong)
-    assert len(toxic) >= 50 and min(recall.values()) >= 0.95 and wrong <= 0.02
+    made = {"inserted": put(lambda k, _: chr(97 + k * 7 % 26)), "doubled": put(lambda _, c: c), "gap": put(lambda _, c: "."), "spaced": [insult.sub(lambda m: " ".join(m[0]), t) for t in toxic]}
+    recall = {k: float(found(scorer, t).mean()) for k, t in made.items()}
+    print(len(toxic), recall)
+    assert len(toxic) >= 50 and min(recall.values()) >= 0.9
 
 
 def test_classifiers_on_odd_rows(spark, odd):
@@ -442,6 +580,24 @@ def test_pii_cases(spark):
     assert got[len(cases) - 2].s == "ssn:10:21" and got[len(cases) - 1].clean == ""
 
 
+def test_pii_of_a_long_text_takes_linear_time(spark):
+    import time
+
+    text = " ".join(f"u{i}x.y@mail{i % 7}.example.org" for i in range(36_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = pii.find(docs).select(pii.described(F.col("spans")).alias("s"), pii.redacted(F.col("text"), F.col("spans")).alias("clean")).first()
+    assert time.time() - began < 60 and len(text) > 900_000
+    assert r.s.split(",") == plain_pii(text) and r.clean == " ".join(["<EMAIL>"] * 36_000)
+
+
+def test_pii_added_kinds(spark):
+    cases = ["IBAN DE89 3704 0044 0532 0130 00 ok", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "no name 04dbebab91ab85687d33eeaaf9ac699e1188f962", "my account GB82WEST12345698765432."]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).select("doc_id", pii.described(F.col("spans")).alias("s"), pii.scores(F.col("spans")).alias("p")).collect()}
+    assert [got[i].s for i in range(4)] == ["iban:5:32", "secret:9:49", "", "iban:11:33"] and got[0].p == "1.00" and got[1].p == "0.80"
+
+
 # 10 quality rules
 
 
@@ -474,3 +630,48 @@ def test_quality_rules_against_labels(spark):
     rows = [(r.base_failed, r.kept, good[r.doc_id]) for r in queries.op10_quality_rules(spark, sf_dir).collect() if r.doc_id in good]
     passed = [(k, g) for failed, k, g in rows if not failed]
     assert sum(k for k, g in passed if g) >= 0.97 * sum(g for _, g in passed)
+
+
+# long texts and slices
+
+
+def test_slices_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from docloom.llm.common import slices
+
+    texts = pa.array(["a" * 10, None, "b" * 100, "c", "d", "é" * 6])
+    assert list(slices(texts, 3, 24)) == [(0, 2), (2, 3), (3, 6)] and list(slices(texts, 1, 1000)) == [(i, i + 1) for i in range(6)]
+    assert list(slices(pa.array([], pa.string()), 3, 24)) == []
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = "\n".join(f"alpha beta {i % 50} gamma delta epsilon zeta eta {i % 7} theta" for i in range(3000))
+    whole = line_crf.lines_of([text, "", "x\n\ny"]).x, simhash_dedup.fingerprint(text), quality_rules.repeated_words(text.encode(), text.encode().split())
+    hashes = decontaminate.shingle_hashes([text.encode().split(), [b"one", b"two"]], [1, 2, 5])
+    monkeypatch.setattr(line_crf, "PART", 1000)
+    monkeypatch.setattr(quality_rules, "LONG", 10)
+    monkeypatch.setattr(decontaminate, "PART", 77)
+    assert np.allclose(line_crf.lines_of([text, "", "x\n\ny"]).x, whole[0]) and simhash_dedup.fingerprint(text) == whole[1] == plain_fingerprint(text)
+    assert quality_rules.repeated_words(text.encode(), text.encode().split()) == whole[2]
+    for k, (h, at) in decontaminate.shingle_hashes([text.encode().split(), [b"one", b"two"]], [1, 2, 5]).items():
+        assert (h == hashes[k][0]).all() and (at == hashes[k][1]).all()
+
+
+def test_a_text_of_20_mb(spark):
+    """One text far longer than a slice goes whole through every operator that maps texts."""
+    from docloom.llm import quality_classifier
+
+    words = 20_000_000 // 8
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda i: F.concat(F.lit("w"), (i.cast("long") * 7919 % 100003).cast("string"), F.when(i % 12 == 0, "\n").otherwise(""))), " ").alias("text"))
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    assert docs.select(F.octet_length("text")).first()[0] > 16_000_000
+    crf = quality_classifier.fit(docs, labels)
+    counts = quality_rules.judge(docs, crf).first()
+    assert counts.n_words == words and counts.kept
+    assert quality_classifier.score(docs, crf).count() == 1 and toxicity.score(docs, toxicity.fit(docs, labels)).first().predicted == 0
+    assert simhash_dedup.fingerprints(docs).first().fp != 0
+    bench = docs.select(F.lit(1).alias("item_id"), F.substring_index(F.substring("text", 10_000_000, 200), " ", 14).alias("text"))
+    assert decontaminate.decontaminate(docs, bench).first().contaminated
+    ids = bpe.encode(docs, queries.tokenizer_path("byte_bpe_50k.json")).select(F.sha2("decoded", 256), F.sha2("row.text", 256)).first()
+    assert ids[0] == ids[1]

@@ -43,6 +43,9 @@ def test_stages(spark, sf_dir):
 def test_odd_rows(spark, sf_dir):
     rows = [(i, t, "en", s, None, 1, 2.0) for i, t, s in plain.ODD]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int, kept double")
+    last = corpus_pipeline.tokens(spark, docs, sf_dir)
+    assert last.count() == len(rows) and last.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and last.where("n_tokens = 0").count() == 3
+    assert corpus_pipeline.tokens(spark, docs.limit(0), sf_dir).count() == 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
