@@ -1,4 +1,5 @@
-"""A corpus pipeline in five stages; each takes the documents that the one before kept and returns documents with the same columns.
+"""A corpus pipeline in five stages; each takes the documents that the one before kept and returns documents with the same columns, but the last, which
+returns their tokens.
 
 Edge cases: nulls, empty texts and repeated rows go through as the operators' docstrings say; an empty table gives empty stages. Columns beyond
 those of documents go through too. A stage's own columns stay inside it, so names can't clash.
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, decontaminate, pii, quality_rules, simhash_dedup
-from docloom.llm.common import table, written
+from docloom.llm.common import drop, scratch, table, written
 from docloom.llm.queries import tokenizer_path
 
 
@@ -58,8 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again; the last is left to the caller to write."""
+    """All stages over documents, each written and read again; the last is left to the caller to write.
+
+    A stage's own tables, and the documents that it took, are deleted once its documents are written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            before, docs = docs, written(stage(spark, docs, sf_dir), name, keep=True)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
