@@ -41,15 +41,15 @@ MEAN, LEAST, MOST = 512, 128, 4096
 #: Documents of a block of the manifest; a range of the recipes is cut into such blocks.
 BLOCK = 4096
 #: Words whose ids a worker remembers in each of two generations, and the length up to which a word outlives its first one.
-REMEMBER, SHORT = 400_000, 64
+REMEMBER, SHORT = 250_000, 64
 
 #: Documents encoded together.
 SLICE = 1024
-#: The compression dictionary has so many bytes, and comes from the chunks of so many documents, those of least id; chunks don't depend on it.
-DICTIONARY, DICTIONARY_DOCS, DICTIONARY_BYTES = 112_640, 2_000, 65_536
+#: The compression dictionary has so many bytes, and comes from the chunks of so many documents, those of least hash of the id; chunks don't depend on it.
+DICTIONARY, DICTIONARY_DOCS, DICTIONARY_BYTES = 112_640, 500, 65_536
 LEVEL = 3
-#: Bytes of chunks in a bucket, and references to one chunk from which on Spark may split its join by skew.
-BUCKET_BYTES, HOT = 64 << 20, 1_000_000
+#: Bytes of ids in a bucket, and references to one chunk from which on Spark may split its join by skew.
+BUCKET_BYTES, HOT = 128 << 20, 1_000_000
 
 _LOADED: dict[str, WordEncoder] = {}
 _ODD = re.compile("[\x1c-\x1f]")
@@ -236,8 +236,9 @@ def _streams(texts: list[str], path: str, end_id: int, width: int):
 
 def _dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> bytes:
     """A compression dictionary from the chunks of a bounded sample of documents; none where those are too few to make one."""
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= DICTIONARY_BYTES)
-    texts = [r.text for r in few.orderBy("doc_id", "text").limit(DICTIONARY_DOCS).collect()]
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = [r.doc_id for r in each.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS).collect()]  # ids alone travel
+    texts = [r.text for r in each.where(F.col("doc_id").isin(ids) & (F.octet_length("text") <= DICTIONARY_BYTES)).limit(DICTIONARY_DOCS).collect()] if ids else []
     found = {c for _, chunks in _streams(texts, path, end_id, width) for c in chunks} if texts else set()
     try:
         return zstandard.train_dictionary(DICTIONARY, sorted(found)).as_bytes() if len(found) >= 100 else b""
@@ -289,7 +290,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vocabular
     loose.write.option("compression", "zstd").parquet(tmp)
     loose = spark.read.schema(loose.schema).parquet(tmp)
     chunk = loose.select(F.explode("chunks").alias("c")).select("c.hash", "c.n", "c.data")
-    total = chunk.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    total = width * (loose.agg(F.sum("n_tokens")).first()[0] or 0)
     buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
     merged = chunk.repartition(buckets, "hash").groupBy("hash").agg(F.first("n").alias("n"), F.first("data").alias("data"))
     with _named(spark) as name:

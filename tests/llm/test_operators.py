@@ -663,7 +663,7 @@ def test_a_text_of_20_mb(spark):
     from docloom.llm import quality_classifier
 
     words = 20_000_000 // 8
-    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda i: F.concat(F.lit("w"), (i.cast("long") * 7919 % 100003).cast("string"), F.when(i % 12 == 0, "\n").otherwise(""))), " ").alias("text"))
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda i: F.concat(F.lit("w"), (i.cast("long") * 48271 % 2147483647 % 10000019).cast("string"), F.when(i % 12 == 0, "\n").otherwise(""))), " ").alias("text"))
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     assert docs.select(F.octet_length("text")).first()[0] > 16_000_000
     crf = quality_classifier.fit(docs, labels)
