@@ -64,13 +64,26 @@ def key_url(url: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    """The host in lower case, without port, credentials and a dot at its end; an IPv6 address keeps its brackets."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]/]*\]|[^/:?#]+)", 1))
+    return F.when(F.length(host) > 1, F.regexp_replace(host, r"\.$", "")).otherwise(host)
+
+
+# What private IPv4 addresses begin with, and names and IPv6 addresses of private hosts.
+PRIVATE_V4 = r"(?:0|10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."
+PRIVATE_NAME = r"^(?:localhost|.*\.local|.*\.internal|.*\.localhost)$"
+PRIVATE_V6 = rf"^\[(?:::1?|::ffff:{PRIVATE_V4}[0-9.]+|f[cd][0-9a-f]{{2}}:.*|fe[89ab][0-9a-f]:.*)\]$"
+
+
+def is_private(host: Column) -> Column:
+    """Whether a host is a local name or an address of a private range; a name that begins as such an address isn't."""
+    return host.rlike(PRIVATE_NAME) | (host.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$") & host.rlike("^" + PRIVATE_V4)) | host.rlike(PRIVATE_V6)
 
 
 def url_skip_code(url: Column) -> Column:
     """Why a URL isn't fetched: unsupported-scheme, has-credentials, private-host, or null."""
     host = host_of(url)
-    private = host.rlike(r"^(localhost|.*\.local|.*\.internal|.*\.localhost|10\..*|127\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*)$")
+    private = is_private(host)
     return (
         F.when(~url.rlike(r"^(?i)https?://"), "unsupported-scheme").when(url.rlike(r"^[A-Za-z]+://[^/?#]*@"), "has-credentials").when(private, "private-host")
     )

@@ -34,6 +34,7 @@ def changes_only(df: DataFrame, key: str, order: list[str], value: str) -> DataF
 
 
 def ledger(lines: DataFrame) -> DataFrame:
-    """id and cost of (id, type, cost): what was charged, or the reservation where nothing was."""
+    """id and cost of (id, type, cost, place): what was charged, or the last reservation by place where nothing was."""
     charged = F.sum(F.when(F.col("type") == "charge", F.col("cost")))
-    return lines.groupBy("id").agg(F.coalesce(charged, F.max(F.when(F.col("type") == "reserve", F.col("cost")))).alias("cost"))
+    reserved = F.max_by("cost", F.when(F.col("type") == "reserve", F.col("place")))
+    return lines.groupBy("id").agg(F.coalesce(charged, reserved).alias("cost"))

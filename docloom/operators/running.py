@@ -1,23 +1,49 @@
-"""Running sums over a whole table in a total order, without bringing the table to one task."""
+"""Running sums in a total order, without bringing a table or a group to one task.
+
+Nulls and edge cases: null values add nothing; an order column that is null comes first; the order must be total, as rows that tie share no defined
+place; an empty table gives an empty result; names of added columns that the input has are an error.
+"""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sum(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
-    """df with a column for each of values (name: column) that sums it over all rows up to this one in the given order.
+def _cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint: ranges must be dealt once, as both uses below have to see the same. Without a shared folder only a local master will do."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
+    return df.checkpoint()
+
 
-    Rows are dealt by ranges of the order; each range sums its own rows, and what the ranges before it sum to is added from a table with
-    a row for each range. The order must be total. The ranges are cut by a checkpoint where one is set, so both uses see the same.
+def grouped_running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """df with a column for each of values (name: column) that sums it over all rows of its keys up to this one in the given order.
+
+    Rows are dealt by ranges of keys and order, so a hot key is spread over several; each range sums its own rows of a key, and what the ranges before it
+    sum to is added from a table with a row for each key and range.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        dealt = dealt.checkpoint()
-    upto = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    within = dealt.withColumns({n: F.sum(c).over(upto) for n, c in values.items()})
-    sums = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in values.items()])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    bases = sums.select("_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in values])
-    return within.join(bases, "_range").select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in values])
+    if clash := sorted(set(values) & set(df.columns)):
+        raise ValueError(f"columns {clash} of the input would be lost")
+    rows = df.select(F.struct("*").alias("row"), *[F.col(c) for c in dict.fromkeys([*keys, *order])], *[F.col(c).alias(f"value {n}") for n, c in values.items()])
+    dealt = _cut(rows.repartitionByRange(*[F.col(c) for c in dict.fromkeys([*keys, *order])]).withColumn("range", F.spark_partition_id()))
+    upto = Window.partitionBy("range", *[f"row.{k}" for k in keys]).orderBy(*[f"row.{c}" for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    within = dealt.select("row", "range", *[F.sum(f"value {n}").over(upto).alias(n) for n in values])
+    sums = dealt.groupBy("range", *[F.col(f"row.{k}").alias(f"key {k}") for k in keys]).agg(*[F.sum(f"value {n}").alias(n) for n in values])
+    before = Window.partitionBy(*[f"key {k}" for k in keys]).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each key and range
+    bases = sums.select(F.col("range").alias("at"), *[f"key {k}" for k in keys], *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"base {n}") for n in values])
+    same = F.col("range") == F.col("at")
+    for k in keys:
+        same = same & F.col(f"row.{k}").eqNullSafe(F.col(f"key {k}"))
+    return within.join(bases, same).select("row.*", *[(F.coalesce(F.col(n), F.lit(0)) + F.col(f"base {n}")).alias(n) for n in values])
+
+
+def running_sum(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
+    """As grouped_running(), over the whole table."""
+    return grouped_running(df, [], order, values)

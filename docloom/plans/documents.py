@@ -5,53 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as X
-from ..operators import catalog, retrieval
+from ..operators import catalog, retrieval, texts
 from ..operators.running import running_sum
 from ..sources.tables import table
+from .rules import CATALOG_TOKENS, RETRIEVAL_TOKENS
 
+#: Bands of a logarithmic scale: a number a tenth below or above another lies in its band or in a neighbour.
+BAND = 0.11
 TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 2)"
 
 
+def _weighed(docs: DataFrame) -> DataFrame:
+    """Catalog tokens of each document: the first 60 characters are its title, which counts twice, and all that follows its summary."""
+    return retrieval.term_counts(docs, "doc_id", [(F.substring("text", 1, 60), 2), (F.substring("text", 61, 2**31 - 1), 1)], R.catalog_tokens)
+
+
 def related_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight documents most like the one of least id, which has a title (first 60 characters, counted twice) and a summary (the next 240)."""
+    """The eight documents most like the one of least id."""
     docs = table(spark, sf_dir, "documents")
-    counts = retrieval.term_counts(docs, "doc_id", [(F.substring("text", 1, 60), 2), (F.substring("text", 61, 240), 1)])
+    counts = _weighed(docs)
     first, n = docs.agg(F.min("doc_id"), F.count("*")).first()
     corpus, query = counts.where(F.col("doc_id") != first), counts.where(F.col("doc_id") == first).select("term", "tf")
     scores = retrieval.cosine(query, corpus, "doc_id", n).withColumn("score", F.round("score", 6))
     return scores.where(F.col("score") >= retrieval.MIN_SCORE).orderBy(F.desc("score"), "doc_id").limit(retrieval.TOP)
 
 
-RELATED_SQL = f"""
-WITH t AS (SELECT doc_id, term, sum(w) AS tf FROM (
-    SELECT doc_id, unnest({TOKENS.format("substr(text, 1, 60)")}) AS term, 2.0 AS w FROM documents UNION ALL
-    SELECT doc_id, unnest({TOKENS.format("substr(text, 61, 240)")}) AS term, 1.0 AS w FROM documents) GROUP BY doc_id, term),
+_WEIGHED_SQL = f"""WITH t AS (SELECT doc_id, term, sum(w) AS tf FROM (
+    SELECT doc_id, unnest({CATALOG_TOKENS.format("substr(text, 1, 60)")}) AS term, 2.0 AS w FROM documents UNION ALL
+    SELECT doc_id, unnest({CATALOG_TOKENS.format("substr(text, 61)")}) AS term, 1.0 AS w FROM documents) GROUP BY doc_id, term),
 df AS (SELECT term, ln((SELECT count(*) + 1 FROM documents) / (count(*) + 1.0)) + 1 AS idf FROM t GROUP BY term),
-n AS (SELECT ln(1.0)),
 w AS (SELECT doc_id, term, CAST(tf * idf AS DOUBLE) AS w FROM t JOIN df USING (term)),
+l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),"""
+RELATED_SQL = f"""{_WEIGHED_SQL}
 q AS (SELECT term, w AS q FROM w WHERE doc_id = (SELECT min(doc_id) FROM documents)),
-s AS (SELECT w.doc_id, sum(w * q) AS dot FROM w JOIN q USING (term) WHERE w.doc_id <> (SELECT min(doc_id) FROM documents) GROUP BY w.doc_id),
-l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)
+s AS (SELECT w.doc_id, sum(w * q) AS dot FROM w JOIN q USING (term) WHERE w.doc_id <> (SELECT min(doc_id) FROM documents) GROUP BY w.doc_id)
 SELECT doc_id, round(greatest(0.0, least(1.0, dot / (norm * (SELECT sqrt(sum(q * q)) FROM q)))), 6) AS score
 FROM s JOIN l USING (doc_id) WHERE dot / (norm * (SELECT sqrt(sum(q * q)) FROM q)) >= 0.05 ORDER BY score DESC, doc_id LIMIT 8
-""".replace("n AS (SELECT ln(1.0)),\n", "")
+"""
 
 
 def related_to_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As related_documents, but with all text after the title as summary, for each document whose id is divisible by 100."""
+    """As related_documents, for each document whose id is divisible by 100."""
     docs = table(spark, sf_dir, "documents")
-    counts = retrieval.term_counts(docs, "doc_id", [(F.substring("text", 1, 60), 2), (F.substring("text", 61, 2**31 - 1), 1)])
-    return retrieval.cosine_of_each(counts, F.col("doc_id") % 100 == 0, "doc_id", docs.count())
+    return retrieval.cosine_of_each(_weighed(docs), F.col("doc_id") % 100 == 0, "doc_id", docs.count())
 
 
-RELATED_TO_EACH_SQL = f"""
-WITH t AS (SELECT doc_id, term, sum(w) AS tf FROM (
-    SELECT doc_id, unnest({TOKENS.format("substr(text, 1, 60)")}) AS term, 2.0 AS w FROM documents UNION ALL
-    SELECT doc_id, unnest({TOKENS.format("substr(text, 61)")}) AS term, 1.0 AS w FROM documents) GROUP BY doc_id, term),
-df AS (SELECT term, ln((SELECT count(*) + 1 FROM documents) / (count(*) + 1.0)) + 1 AS idf FROM t GROUP BY term),
-w AS (SELECT doc_id, term, CAST(tf * idf AS DOUBLE) AS w FROM t JOIN df USING (term)),
-l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
+RELATED_TO_EACH_SQL = f"""{_WEIGHED_SQL}
 s AS (SELECT q.doc_id AS query_id, w.doc_id, sum(w.w * q.w) AS dot FROM w JOIN w AS q ON w.term = q.term AND w.doc_id <> q.doc_id WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, w.doc_id),
 r AS (SELECT query_id, s.doc_id, round(greatest(0.0, least(1.0, dot / (l.norm * o.norm))), 6) AS score FROM s JOIN l ON l.doc_id = s.doc_id JOIN l AS o ON o.doc_id = query_id)
 SELECT query_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score >= 0.05) WHERE rank <= 8
@@ -65,17 +66,17 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best documents for each benchmark item, taken as a question."""
-    questions = table(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("terms"))
-    return retrieval.bm25(questions, table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("terms")))
+    questions = table(spark, sf_dir, "benchmark").select("item_id", R.retrieval_tokens(F.col("text")).alias("terms"))
+    return retrieval.bm25(questions, table(spark, sf_dir, "documents").select("doc_id", R.retrieval_tokens(F.col("text")).alias("terms")))
 
 
 BM25_SQL = f"""
-WITH d AS (SELECT doc_id, {TOKENS.format("text")} AS terms FROM documents),
+WITH d AS (SELECT doc_id, {RETRIEVAL_TOKENS.format("text")} AS terms FROM documents),
 s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(terms)) AS a FROM d),
 tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS len, unnest(terms) AS term FROM d) GROUP BY doc_id, len, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT doc_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)) AS w FROM tf JOIN df USING (term), s),
-q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY item_id, term),
+q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({RETRIEVAL_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY item_id, term),
 r AS (SELECT item_id, doc_id, round(sum(w * qf), 6) AS score FROM w JOIN q USING (term) GROUP BY item_id, doc_id)
 SELECT item_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score > 0) WHERE rank <= 8
 """
@@ -104,9 +105,10 @@ def store_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each document: how many, how many over 20 words or with two instructions, and the share that passes."""
-    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
-    long, two = X.word_count(F.col("s")) > 20, X.two_instructions(F.col("s"))
-    found = each.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.count_if(long).alias("n_long"), F.count_if(two).alias("n_two"), F.count_if(~(long | two)).alias("n_passing"))
+    judged = F.transform(X.sentences(F.col("text")), lambda s: F.struct((X.word_count(s) > 20).alias("long"), X.two_instructions(s).alias("two")))
+    n_of = lambda good: F.size(F.filter("s", good)).cast("long")
+    each = table(spark, sf_dir, "documents").select("doc_id", judged.alias("s")).where(F.size("s") > 0)
+    found = each.select("doc_id", F.size("s").cast("long").alias("n_sentences"), n_of(lambda s: s["long"]).alias("n_long"), n_of(lambda s: s["two"]).alias("n_two"), n_of(lambda s: ~(s["long"] | s["two"])).alias("n_passing"))
     return found.select("doc_id", "n_sentences", "n_long", "n_two", F.round(F.col("n_passing") / F.col("n_sentences"), 6).alias("score"))
 
 
@@ -116,16 +118,22 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def character_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits per character of each document."""
-    chars = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("c")).groupBy("doc_id", "c").agg(F.count("*").alias("n"))
-    total = chars.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return total.select("doc_id", F.round(F.log2("t") - F.col("s") / F.col("t"), 4).alias("entropy"))
+    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.round(R.entropy(F.col("text")), 4).alias("entropy"))
 
 
 def new_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers that a source states and that no other source states, nor any number that it rounds (within a tenth)."""
+    """Numbers that a source states where no other source states one within a tenth of its own (that one isn't 0).
+
+    Distinct numbers, each with the least and the greatest source that states it, stand in bands of a logarithmic scale wider than a tenth; a number meets
+    those of its own band and of both neighbours, so the work grows with the distinct numbers of a band, not with documents.
+    """
     docs = table(spark, sf_dir, "documents").select("source", F.explode(X.stated_numbers(F.col("text"))).alias("v")).distinct()
-    near = docs.alias("a").join(docs.alias("b"), (F.floor(F.log2(F.abs(F.col("a.v")) + 1)) == F.floor(F.log2(F.abs(F.col("b.v")) + 1))) & (F.col("a.source") != F.col("b.source")) & (F.col("a.v") == F.col("b.v")), "left_semi")
-    return docs.exceptAll(near).groupBy("source").agg(F.count("*").alias("n_own"), F.round(F.sum(F.log2(F.col("v") + 1)), 4).alias("magnitude"))
+    band = F.floor(F.ln(F.abs("v")) / BAND)
+    known = docs.where("v <> 0").groupBy("v").agg(F.min("source").alias("low"), F.max("source").alias("high")).select(F.col("v").alias("n"), "low", "high", F.explode(F.array(band - 1, band, band + 1)).alias("near"))
+    asked = docs.withColumn("band", F.when(F.col("v") != 0, band))
+    close = (F.col("band") == F.col("near")) & (F.abs(F.col("v") - F.col("n")) <= 0.1 * F.abs("n")) & ((F.col("low") != F.col("source")) | (F.col("high") != F.col("source")))
+    own = asked.join(known, close, "left_anti")
+    return own.groupBy("source").agg(F.count("*").alias("n_own"), F.round(F.sum(F.log2(F.col("v") + 1)), 4).alias("magnitude"))
 
 
 def bold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,12 +142,13 @@ def bold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with how many documents of one source have them, where that is three or more and over three in five hundred of its documents."""
-    docs = table(spark, sf_dir, "documents")
-    lines = docs.select("source", "doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("trim(line) <> ''")
-    total = docs.groupBy("source").agg(F.count("*").alias("n"))
-    counts = lines.groupBy("source", "line").agg(F.count("*").alias("n_docs"))
-    return counts.where("n_docs >= 3").join(F.broadcast(total), "source").where(F.col("n_docs") * 500 > F.col("n") * 3).select("source", F.sha2("line", 256).alias("line_sha"), "n_docs")
+    """What is left of each document without lines that stand in over 60 % of its paragraphs, and in three at least."""
+    paragraphs = F.posexplode(F.split("text", "\n")).alias("slide", "line")
+    lines = table(spark, sf_dir, "documents").select("doc_id", paragraphs).where("trim(line) <> ''")
+    kept = texts.without_repeated(lines, "doc_id", "slide", "line")
+    total = lines.groupBy("doc_id").agg(F.count("*").alias("n"))
+    left = kept.groupBy("doc_id").agg(F.count("*").alias("n_left"), F.sum(F.length("line")).alias("n_chars"))
+    return total.join(left, "doc_id", "left").select("doc_id", F.coalesce("n_left", F.lit(0)).alias("n_left"), (F.col("n") - F.coalesce("n_left", F.lit(0))).alias("n_removed"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
 
 
 def carried_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,18 +172,20 @@ def chosen_with_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest documents of each source (of greatest id), while there are 60 at most and 48 kB in all; the newest always stays."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
-    return catalog.capped_history(docs, "source", [F.desc("doc_id")], "bytes", 60, 48_000).select("source", "doc_id", F.col("total").alias("bytes_so_far"))
+    return catalog.capped_history(docs, "source", "doc_id", "bytes", 60, 48_000).select("source", "doc_id", F.col("total").alias("bytes_so_far"))
 
 
 def kept_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document whether another language holds a text of its source and content; short texts have no content hash, and match any."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("kind"), F.col("source").alias("ref"), F.when(F.length("text") >= 200, F.sha2("text", 256)).alias("sha"))
-    held = docs.where("kind <> 'en'").withColumn("kind", F.lit("en"))
-    return catalog.kept_sources(docs.where("kind = 'en'"), held).select("doc_id", "is_held")
+    # What a language finds in others: each held content under every other language; there are as many rows as languages times distinct contents.
+    kinds = docs.select(F.col("kind").alias("asks")).distinct()
+    held = docs.select("kind", "ref", "sha").distinct().join(kinds, F.col("asks") != F.col("kind")).select(F.col("asks").alias("kind"), "ref", "sha")
+    return catalog.kept_sources(docs, held).select("doc_id", "is_held")
 
 
 def turn_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as a tree, each under the turn before it: level and number of turns in its conversation, siblings oldest first."""
+    """Turns of each conversation as a chain: place, characters so far and number of turns."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     return turns.select("conv_id", "turn", F.row_number().over(w).alias("level"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("chars_on_path"), F.count("*").over(Window.partitionBy("conv_id")).alias("n_turns"))
@@ -200,12 +211,13 @@ ORACLE_SQL = {
     "character_entropy": """WITH c AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) GROUP BY doc_id, c)
         SELECT doc_id, round(log2(CAST(sum(n) AS DOUBLE)) - sum(n * log2(CAST(n AS DOUBLE))) / CAST(sum(n) AS DOUBLE), 4) AS entropy FROM c GROUP BY doc_id""",
     "new_numbers": r"""WITH d AS (SELECT DISTINCT source, v FROM (SELECT source, CAST(replace(unnest(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?')), ',', '') AS DOUBLE) AS v FROM documents) WHERE NOT (v = floor(v) AND v BETWEEN 0 AND 10)),
-        o AS (SELECT v FROM d GROUP BY v HAVING count(*) = 1)
-        SELECT source, count(*) AS n_own, round(sum(log2(v + 1)), 4) AS magnitude FROM d JOIN o USING (v) GROUP BY source""",
+        k AS (SELECT v AS n, min(source) AS lo, max(source) AS hi FROM d WHERE v <> 0 GROUP BY v)
+        SELECT source, count(*) AS n_own, round(sum(log2(v + 1)), 4) AS magnitude FROM d WHERE NOT EXISTS (SELECT 1 FROM k WHERE abs(d.v - n) <= 0.1 * abs(n) AND (lo <> d.source OR hi <> d.source)) GROUP BY source""",
     "bold_terms": r"""WITH t AS (SELECT DISTINCT doc_id, lower(trim(unnest(regexp_extract_all(text, '\*\*([^*\n]+)\*\*', 1)))) AS term FROM documents)
         SELECT term, count(*) AS n_docs, min(doc_id) AS first_doc FROM t WHERE length(term) BETWEEN 3 AND 60 GROUP BY term""",
-    "repeated_lines": """WITH l AS (SELECT DISTINCT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
-        SELECT source, sha256(line) AS line_sha, n_docs FROM (SELECT source, line, count(*) AS n_docs FROM l WHERE trim(line) <> '' GROUP BY source, line) JOIN n USING (source) WHERE n_docs >= 3 AND n_docs * 500 > n * 3""",
+    "repeated_lines": f"""WITH l AS (SELECT * FROM {_LINES} WHERE trim(line) <> ''), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id), r AS (SELECT doc_id, line, count(*) AS c FROM l GROUP BY doc_id, line),
+        k AS (SELECT l.doc_id, count(*) AS n_left, sum(length(l.line)) AS n_chars FROM l JOIN n USING (doc_id) JOIN r ON r.doc_id = l.doc_id AND r.line = l.line WHERE NOT (c >= 3 AND c > 0.6 * n) GROUP BY l.doc_id)
+        SELECT doc_id, coalesce(n_left, 0) AS n_left, n - coalesce(n_left, 0) AS n_removed, CAST(coalesce(n_chars, 0) AS BIGINT) AS n_chars FROM n LEFT JOIN k USING (doc_id)""",
     "carried_heading": f"""WITH l AS {_LINES}, h AS (SELECT doc_id, ix, line, last_value(CASE WHEN len(regexp_split_to_array(trim(line), ' +')) <= 3 THEN ix END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ix) AS u FROM l)
         SELECT doc_id, CAST(coalesce(u, -1) AS INTEGER) AS under, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM h GROUP BY doc_id, 2""",
     "chosen_with_neighbours": f"""WITH l AS {_LINES}, b AS (SELECT doc_id, ix FROM (SELECT doc_id, ix, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, ix) AS r FROM l) WHERE r <= 3),
@@ -214,7 +226,7 @@ ORACLE_SQL = {
     "capped_sources": """WITH d AS (SELECT source, doc_id, row_number() OVER w AS p, CAST(sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id DESC))
         SELECT source, doc_id, t AS bytes_so_far FROM d WHERE p = 1 OR (p <= 60 AND t <= 48000)""",
     "kept_texts": """WITH d AS (SELECT doc_id, lang, source, CASE WHEN length(text) >= 200 THEN sha256(text) END AS sha FROM documents)
-        SELECT doc_id, EXISTS (SELECT 1 FROM d AS h WHERE h.lang <> 'en' AND h.source = d.source AND (h.sha IS NULL OR d.sha IS NULL OR h.sha = d.sha)) AS is_held FROM d WHERE lang = 'en'""",
+        SELECT doc_id, EXISTS (SELECT 1 FROM d AS h WHERE h.lang <> d.lang AND h.source = d.source AND (h.sha IS NULL OR d.sha IS NULL OR h.sha = d.sha)) AS is_held FROM d""",
     "turn_paths": """SELECT conv_id, turn, CAST(row_number() OVER w AS INTEGER) AS level, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars_on_path, count(*) OVER (PARTITION BY conv_id) AS n_turns
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
 }

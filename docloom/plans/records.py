@@ -10,7 +10,7 @@ from ..operators import catalog, feed, tables
 from ..sources.tables import table
 
 # Prices of a ledger's events, and thresholds of page quality.
-EXTERNAL_SCRIPT_BYTES, READABLE, EMPTY_BODY, SCRIPT_RATIO, SCRIPT_BODY = 50_000, 200, 500, 20, 2_000
+EXTERNAL_SCRIPT_BYTES, EMPTY_BODY, SCRIPT_RATIO, SCRIPT_BODY = 50_000, 500, 20, 2_000
 
 
 def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(F.trim(F.regexp_replace(bare, r"\s+", " "))).cast("long").alias("text_chars"), F.regexp_count("html", F.lit("<a ")).cast("long").alias("n_links"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("n_paragraphs"),
     )
     heavy = (F.col("script_chars") / F.greatest("text_chars", F.lit(1)) > SCRIPT_RATIO) & (F.col("text_chars") < SCRIPT_BODY)
-    return p.withColumn("verdict", F.when(F.col("text_chars") >= 1500, "ok").when(heavy, "client-rendered").when(F.col("text_chars") < EMPTY_BODY, "empty").when(F.col("text_chars") >= READABLE, "ok").otherwise("empty"))
+    return p.withColumn("verdict", F.when(F.col("text_chars") >= 1500, "ok").when(heavy, "client-rendered").when(F.col("text_chars") < EMPTY_BODY, "empty").otherwise("ok"))
 
 
 def newest_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spend_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spend of each user: purchases are charges and clicks reservations, of the user's day; a day without a charge counts at its reservation."""
     e = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'click')")
-    lines = e.select(F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("id"), "user_id", F.when(F.col("event_type") == "purchase", "charge").otherwise("reserve").alias("type"), F.col("value").alias("cost"))
+    lines = e.select(F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("id"), "user_id", F.when(F.col("event_type") == "purchase", "charge").otherwise("reserve").alias("type"), F.col("value").alias("cost"), F.struct("ts", "event_id").alias("place"))
     each = feed.ledger(lines).withColumn("user_id", F.split("id", "/")[0].cast("long"))
     return each.groupBy("user_id").agg(F.round(F.sum("cost"), 4).alias("spend"), F.count("*").alias("n_days"))
 
@@ -89,7 +89,7 @@ def suite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def type_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median value of each event type, and the event nearest to it (the first on ties)."""
     e = table(spark, sf_dir, "events").where("value IS NOT NULL")
-    m = e.groupBy("event_type").agg(F.median("value").alias("m"))
+    m = catalog.medians(e, "event_type", "value").withColumnRenamed("median", "m")
     near = e.join(F.broadcast(m), "event_type")  # a row for each type
     return near.groupBy("event_type").agg(F.round(F.first("m"), 6).alias("median"), F.min(F.struct(F.abs(F.col("value") - F.col("m")), "event_id"))["event_id"].alias("nearest"))
 
@@ -151,13 +151,14 @@ _KEY = r"regexp_replace(regexp_replace(trim(url), '^[<\"''](.*)[>\"'']$', '\1'),
 ORACLE_SQL = {
     "url_keys": rf"""WITH b AS (SELECT page_id, {_KEY} AS u FROM pages), f AS (SELECT page_id, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN u ELSE 'https://' || u END AS u FROM b),
         k AS (SELECT page_id, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')) || substr(u, length(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')) + 1) AS key FROM f),
-        h AS (SELECT page_id, key, lower(regexp_extract(key, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host FROM k)
+        h0 AS (SELECT page_id, key, lower(regexp_extract(key, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]/]*\]|[^/:?#]+)', 1)) AS host0 FROM k), h AS (SELECT page_id, key, CASE WHEN length(host0) > 1 THEN regexp_replace(host0, '\.$', '') ELSE host0 END AS host FROM h0)
         SELECT page_id, key, host, CASE WHEN NOT regexp_matches(key, '^https?://') THEN 'unsupported-scheme' WHEN regexp_matches(key, '^[A-Za-z]+://[^/?#]*@') THEN 'has-credentials'
-        WHEN regexp_matches(host, '^(localhost|.*\.local|.*\.internal|.*\.localhost|10\..*|127\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*)$') THEN 'private-host' ELSE 'ok' END AS code FROM h""",
+        WHEN regexp_matches(host, '^(localhost|.*\.local|.*\.internal|.*\.localhost)$') OR (regexp_full_match(host, '[0-9]{1,3}(\.[0-9]{1,3}){3}') AND regexp_matches(host, '^(0|10|127|192\.168|169\.254|172\.(1[6-9]|2[0-9]|3[01]))\.'))
+        OR regexp_matches(host, '^\[(::1?|::ffff:(0|10|127|192\.168|169\.254|172\.(1[6-9]|2[0-9]|3[01]))\.[0-9.]+|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)\]$') THEN 'private-host' ELSE 'ok' END AS code FROM h""",
     "page_signals": r"""WITH s AS (SELECT page_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), lambda x: length(x))), 0) + 50000 * len(regexp_extract_all(html, '<script[^>]* src=')) AS BIGINT) AS script_chars,
         CAST(length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS BIGINT) AS text_chars,
         CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n_paragraphs FROM pages)
-        SELECT *, CASE WHEN text_chars >= 1500 THEN 'ok' WHEN CAST(script_chars AS DOUBLE) / greatest(text_chars, 1) > 20 AND text_chars < 2000 THEN 'client-rendered' WHEN text_chars < 500 THEN 'empty' WHEN text_chars >= 200 THEN 'ok' ELSE 'empty' END AS verdict FROM s""",
+        SELECT *, CASE WHEN text_chars >= 1500 THEN 'ok' WHEN CAST(script_chars AS DOUBLE) / greatest(text_chars, 1) > 20 AND text_chars < 2000 THEN 'client-rendered' WHEN text_chars < 500 THEN 'empty' ELSE 'ok' END AS verdict FROM s""",
     "newest_claims": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "stale_claims": "SELECT user_id, event_id, place FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM events) WHERE place > 1",
     "event_state": "SELECT user_id, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'",
@@ -166,7 +167,7 @@ ORACLE_SQL = {
     "recent_counts": """WITH c AS (SELECT a.event_id, count(*) FILTER (WHERE b.ts > a.ts - INTERVAL 1 HOUR) AS n_hour, count(*) AS n_day FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts AND b.ts > a.ts - INTERVAL 1 DAY GROUP BY a.event_id)
         SELECT event_id, n_hour, n_day, n_hour > 2 OR n_day > 5 AS over FROM c""",
     "status_changes": "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR b IS DISTINCT FROM event_type",
-    "spend_ledger": """WITH l AS (SELECT user_id, CAST(ts AS DATE) AS d, sum(CASE WHEN event_type = 'purchase' THEN value END) AS c, max(CASE WHEN event_type = 'click' THEN value END) AS r FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1, 2)
+    "spend_ledger": """WITH l AS (SELECT user_id, CAST(ts AS DATE) AS d, sum(CASE WHEN event_type = 'purchase' THEN value END) AS c, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'click') AS r FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1, 2)
         SELECT user_id, round(sum(coalesce(c, r)), 4) AS spend, count(*) AS n_days FROM l GROUP BY user_id""",
     "suite_scores": """WITH e AS (SELECT source, lang, avg(CASE WHEN toxic = 1 THEN 0 ELSE quality END) AS m FROM documents JOIN labels USING (doc_id) GROUP BY source, lang)
         SELECT source, round(avg(m), 6) AS score, count(*) AS n_langs FROM e GROUP BY source""",
@@ -176,7 +177,7 @@ ORACLE_SQL = {
     "recent_orders": "SELECT o_orderpriority, o_orderkey, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS place FROM orders) WHERE place <= 3",
     "customer_places": "SELECT coalesce(c_mktsegment, 'unfiled') AS place, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON o_custkey = c_custkey GROUP BY 1",
     "order_diff": """WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1)
-        SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'added' WHEN b.o_custkey IS NULL THEN 'dropped' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.o_custkey = b.o_custkey WHERE a.n IS DISTINCT FROM b.n""",
+        SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, unnest(CASE WHEN a.o_custkey IS NULL THEN ['added'] WHEN b.o_custkey IS NULL THEN ['dropped'] ELSE ['changed', 'replaced'] END) AS change FROM a FULL JOIN b ON a.o_custkey = b.o_custkey WHERE a.n IS DISTINCT FROM b.n""",
     "merged_categories": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS value, min(l_orderkey) AS position FROM lineitem GROUP BY 1, 2",
     "folded_parts": """WITH c AS (SELECT p_brand || ' ' || p_size AS category, sum(CAST(p_retailprice AS DECIMAL(18, 2))) AS value, min(p_partkey) AS position FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY value DESC NULLS LAST, position) AS r FROM c)
         SELECT CASE WHEN r <= 29 THEN category ELSE 'Other' END AS category, CAST(sum(value) AS DOUBLE) AS value FROM r GROUP BY 1""",
