@@ -41,15 +41,15 @@ MEAN, LEAST, MOST = 512, 128, 4096
 #: Documents of a block of the manifest; a range of the recipes is cut into such blocks.
 BLOCK = 4096
 #: Words whose ids a worker remembers in each of two generations, and the length up to which a word outlives its first one.
-REMEMBER, SHORT = 250_000, 64
+REMEMBER, SHORT = 120_000, 64
 
 #: Documents encoded together.
-SLICE = 1024
+SLICE = 512
 #: The compression dictionary has so many bytes, and comes from the chunks of so many documents, those of least hash of the id; chunks don't depend on it.
 DICTIONARY, DICTIONARY_DOCS, DICTIONARY_BYTES = 112_640, 500, 65_536
 LEVEL = 3
-#: Bytes of ids in a bucket, and references to one chunk from which on Spark may split its join by skew.
-BUCKET_BYTES, HOT = 128 << 20, 1_000_000
+#: Bytes of ids in a bucket; buckets that Spark lets a table have, beyond which they grow; references to one chunk from which on Spark may split its join by skew.
+BUCKET_BYTES, MOST_BUCKETS, HOT = 16 << 20, 100_000, 1_000_000
 
 _LOADED: dict[str, WordEncoder] = {}
 _ODD = re.compile("[\x1c-\x1f]")
@@ -291,7 +291,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vocabular
     loose = spark.read.schema(loose.schema).parquet(tmp)
     chunk = loose.select(F.explode("chunks").alias("c")).select("c.hash", "c.n", "c.data")
     total = width * (loose.agg(F.sum("n_tokens")).first()[0] or 0)
-    buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
+    buckets = min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES)))
     merged = chunk.repartition(buckets, "hash").groupBy("hash").agg(F.first("n").alias("n"), F.first("data").alias("data"))
     with _named(spark) as name:
         merged.write.format("parquet").bucketBy(buckets, "hash").option("path", f"{path}/chunks").option("compression", "none").saveAsTable(name)
