@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, records, rules, texts
+from . import documents, records, rules, texts, versions
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = documents.QUERIES | records.QUERIES | texts.QUERIES | rules.QUERIES
-ORACLE_SQL: dict[str, str] = documents.ORACLE_SQL | records.ORACLE_SQL | texts.ORACLE_SQL | rules.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = documents.QUERIES | records.QUERIES | texts.QUERIES | rules.QUERIES | versions.QUERIES
+ORACLE_SQL: dict[str, str] = documents.ORACLE_SQL | records.ORACLE_SQL | texts.ORACLE_SQL | rules.ORACLE_SQL | versions.ORACLE_SQL
