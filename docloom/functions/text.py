@@ -19,7 +19,7 @@ def tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces between . ! ? or a line feed and what follows."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def word_count(text: Column) -> Column:

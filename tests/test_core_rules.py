@@ -29,6 +29,10 @@ def test_tokens(spark):
     assert one(spark, ["The studies を東京都で running 7 a x", None], R.retrieval_tokens) == [["study", "を東", "東京", "京都", "都で", "runn", "7"], None]
 
 
+def test_sentences_keep_numbers_at_their_ends(spark):
+    assert one(spark, ["0 a. 1 b. 2", " x. ", None], X.sentences) == [["0 a.", "1 b.", "2"], ["x."], None]
+
+
 def plain_syllables(word):
     w = re.sub("[^a-z]", "", word.lower())
     if len(w) <= 3:
