@@ -212,3 +212,10 @@ def uuid_of(hex32: Column) -> Column:
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(hex32, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
     cut = lambda a, n: F.substring(hex32, a, n)
     return F.concat(cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-4"), cut(14, 3), F.lit("-"), variant, cut(18, 3), F.lit("-"), cut(21, 12))
+
+
+def nice_step(span: Column, parts: int) -> Column:
+    """The least of 1, 2, 5 or 10 times a power of ten by which `parts` steps hold a span; a span that isn't positive has none."""
+    raw = span / parts
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    return F.when(span > 0, F.when(raw <= power, power).when(raw <= 2 * power, 2 * power).when(raw <= 5 * power, 5 * power).otherwise(10 * power))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, drafts, records, rules, texts, versions
+from . import asks, documents, drafts, records, rules, syncs, texts, versions
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = documents.QUERIES | records.QUERIES | texts.QUERIES | rules.QUERIES | versions.QUERIES | drafts.QUERIES
-ORACLE_SQL: dict[str, str] = documents.ORACLE_SQL | records.ORACLE_SQL | texts.ORACLE_SQL | rules.ORACLE_SQL | versions.ORACLE_SQL | drafts.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = documents.QUERIES | records.QUERIES | texts.QUERIES | rules.QUERIES | versions.QUERIES | drafts.QUERIES | syncs.QUERIES | asks.QUERIES
+ORACLE_SQL: dict[str, str] = documents.ORACLE_SQL | records.ORACLE_SQL | texts.ORACLE_SQL | rules.ORACLE_SQL | versions.ORACLE_SQL | drafts.ORACLE_SQL | syncs.ORACLE_SQL | asks.ORACLE_SQL
