@@ -83,10 +83,15 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def named(column: str) -> F.Column:
+    """The column of just that name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def packed(df: DataFrame) -> DataFrame:
     """All columns as the struct `row`, with doc_id and text beside it: no added name can clash with a column of df."""
     text = F.col("text") if "text" in df.columns else F.lit(None).cast("string")
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
 def map_texts(df: DataFrame, compute: Callable[[list[str]], dict[str, list]], added: T.StructType, keep: tuple[str, ...], slice_rows: int = SLICE_ROWS) -> DataFrame:

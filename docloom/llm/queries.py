@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, pii, quality_classifier, quality_rules, sharding, simhash_dedup, token_store, toxicity
+from . import bpe, chat_format, decontaminate, periodic_runs, pii, quality_classifier, quality_rules, sharding, simhash_dedup, token_store, toxicity
 from .common import new_path, table
 
 
@@ -97,9 +97,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels"))).drop("row")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.runs(periodic_runs.with_planted_repeats(table(spark, sf_dir, "documents")), keep_rows=False)
+    best = found.withColumn("best", periodic_runs.longest(F.col("runs")))
+    share = F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long")
+    hashes = [F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", share.alias("exponent_milli"), *hashes)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_two_pass_shuffle, op3_simhash_dedup, op4_token_store, op5_decontaminate, op6_bpe, op7_line_crf_quality, op8_toxicity, op9_pii, op10_quality_rules)
+    for f in (op1_chat_format, op2_two_pass_shuffle, op3_simhash_dedup, op4_token_store, op5_decontaminate, op6_bpe, op7_line_crf_quality, op8_toxicity, op9_pii, op10_quality_rules, op13_periodic_runs)
 }
 
 ORACLE_SQL = {
