@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, periodic_runs, pii, quality_classifier, quality_rules, sharding, simhash_dedup, token_store, toxicity
+from . import bpe, chat_format, decontaminate, jaccard_join, periodic_runs, pii, quality_classifier, quality_rules, sharding, simhash_dedup, token_store, toxicity
 from .common import new_path, table
 
 
@@ -97,6 +97,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels"))).drop("row")
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.runs(periodic_runs.with_planted_repeats(table(spark, sf_dir, "documents")), keep_rows=False)
     best = found.withColumn("best", periodic_runs.longest(F.col("runs")))
@@ -107,7 +111,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_two_pass_shuffle, op3_simhash_dedup, op4_token_store, op5_decontaminate, op6_bpe, op7_line_crf_quality, op8_toxicity, op9_pii, op10_quality_rules, op13_periodic_runs)
+    for f in (op1_chat_format, op2_two_pass_shuffle, op3_simhash_dedup, op4_token_store, op5_decontaminate, op6_bpe, op7_line_crf_quality, op8_toxicity, op9_pii, op10_quality_rules, op12_jaccard_join, op13_periodic_runs)
 }
 
 ORACLE_SQL = {
