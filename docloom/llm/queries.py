@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, jaccard_join, periodic_runs, pii, quality_classifier, quality_rules, sharding, simhash_dedup, token_store, toxicity
+from . import bpe, chat_format, decontaminate, jaccard_join, periodic_runs, pii, quality_classifier, quality_rules, sharding, simhash_dedup, token_store, toxicity, turn_repair
 from .common import new_path, table
 
 
@@ -97,6 +97,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels"))).drop("row")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    left = turn_repair.damaged(given)
+    repair = turn_repair.Repair(left)
+    places = left.groupBy("conv_id").agg((F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn")).cast("long").alias("gaps")).withColumnRenamed("conv_id", "of")
+    found = repair.conversations().join(repair.digests(), "cid").join(places, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    found = found.select(F.col("conv_id").alias("of"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "sha256")
+    every = given.select(F.col("conv_id").cast("long").alias("conv_id")).distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -111,7 +123,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_two_pass_shuffle, op3_simhash_dedup, op4_token_store, op5_decontaminate, op6_bpe, op7_line_crf_quality, op8_toxicity, op9_pii, op10_quality_rules, op12_jaccard_join, op13_periodic_runs)
+    for f in (op1_chat_format, op2_two_pass_shuffle, op3_simhash_dedup, op4_token_store, op5_decontaminate, op6_bpe, op7_line_crf_quality, op8_toxicity, op9_pii, op10_quality_rules, op11_turn_repair, op12_jaccard_join, op13_periodic_runs)
 }
 
 ORACLE_SQL = {
