@@ -6,7 +6,7 @@ size - needed + l shingles share l of them. A longer prefix costs more rows of t
 takes the l of least estimated cost. A pair must share the smaller l of its two, each of them early enough that the rest can still reach the
 overlap that the two sizes need. Sizes meet by bands of the threshold's ratio. Every candidate is verified on whole sets.
 
-Large groups of near copies: each class is first verified against one leader, the class that is earliest in the order on most of its prefix. Classes that
+Large groups of near copies: classes with shingles that many prefixes hold are first verified against one leader, a class that has such shingles earliest. Classes that
 these links join need no further links between each other, so only prefix shingles that different components share are joined; `pairs` has all links.
 
 Shingles are told apart by 64-bit hashes. Nulls and edge cases: a null, empty or blank text has no shingles, links with nothing and is its own
@@ -39,6 +39,8 @@ BITS = 22
 CHUNK, FAN = 1 << 16, 64
 #: The longest prefix asks for so many shared shingles.
 MOST = 8
+#: Shingles in more prefixes than this have their holders verified against a leader first.
+CROWD = 16
 #: Cost of verifying one shingle, against one row of the join.
 VERIFY = 0.02
 SKETCH = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
@@ -160,27 +162,38 @@ def sets_of(docs: DataFrame, counts: np.ndarray, size: int = SHINGLE, threshold:
     return written(map_texts(packed(docs), compute, added, ("doc_id",)), "prefixes")
 
 
-def _whole_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """id and shingles of the given classes (class, id, doc_id of one member), from the texts of the documents with these ids."""
-    wanted = classes.select(F.col("doc_id").alias("want")).distinct()
-    texts = packed(docs).drop("row")
-    few = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["want"]), "left_semi")
+def _bits(wanted: DataFrame) -> tuple[int, np.ndarray]:
+    """A bit filter of the hashes in the column h: 64 to 128 bits for each, but 2**16 to 2**29, so what is collected and broadcast stays within 64 MiB."""
+    bits = int(np.clip(np.ceil(np.log2(max(1, wanted.count()))) + 6, 16, 29))
+    bit = F.shiftrightunsigned("h", 64 - bits)
+    rows = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")).alias("mask")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("mask").to_numpy().astype(np.int64).view(np.uint64)
+    return bits, out
 
-    def compute(texts: list[str]) -> dict:
-        h, _, bounds = _sorted_sets(texts, size, None)
-        each = [h[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        return {"class": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in map(np.sort, each)], "shingles": each}
 
-    added = T.StructType([T.StructField("class", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-    found = map_texts(few, compute, added, ()).join(classes.select("class", "id"), "class")
-    return written(found.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")  # copies have one set
+def _whole_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """id and shingles of the given classes (class, id, doc_id of one member), from the texts of the documents with these ids.
 
+    A bit filter tells in the scan which documents may be meant, so no text is shuffled; what it lets through in error meets no class.
+    """
+    bits, words = _bits(classes.select(F.xxhash64("doc_id").alias("h")))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of class ids that reach the threshold."""
-    one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
-    shared = F.size(F.array_intersect("s", "t"))
-    return pairs.join(one, "a").join(two, "b").where(100 * shared >= threshold * (F.size("s") + F.size("t") - shared)).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            asked = np.flatnonzero(shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+            text = batch.column(1).take(pa.array(asked))
+            for at, end in slices(text, SLICE_ROWS, SLICE_BYTES):
+                h, _, bounds = _sorted_sets([t or "" for t in text.slice(at, end - at).to_pylist()], size, None)
+                each = [np.sort(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in each]
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(each, pa.list_(pa.int64()))], names=["class", "shingles"])
+
+    found = packed(docs).select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "class binary, shingles array<long>")
+    once = found.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("shingles").alias("shingles"))  # copies have one set
+    return written(once.join(classes.select("class", "id"), "class").select("id", "shingles"), "sets")
 
 
 class Join:
@@ -193,10 +206,8 @@ class Join:
         grouped = self.documents.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(rank).alias("least"), F.first(F.struct("n", "asked", "prefix")).alias("set"))
         self.classes = written(grouped.select("class", F.col("least.doc_id").alias("doc_id"), "set.*").withColumn("id", F.monotonically_increasing_id()), "classes")
         each = self.classes.select("id", "n", "asked", F.posexplode("prefix").alias("pos", "token"))
-        shared = each.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1").select("token")
-        self.postings = written(each.join(shared, "token"), "postings")
-        touched = self.postings.select("id").distinct()
-        self.sets = _whole_sets(docs, self.classes.select("class", "id", "doc_id").join(touched, "id"), size)
+        shared = each.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+        self.docs, self.size, self.postings = docs, size, written(each.join(shared, "token"), "postings")
         if all_links:
             self.links = written(self._linked(self.postings.withColumn("root", F.col("id"))), "links")
             return
@@ -204,15 +215,21 @@ class Join:
         roots = components(led)
         placed = self.postings.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = placed.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("token")
-        self.links = written(led.unionByName(self._linked(written(placed.join(mixed, "token"), "postings"))), "links")
+        self.links = written(led.unionByName(self._linked(placed.join(mixed, "token"))), "links")
+
+    def _early(self, n, pos, asked, other_n, other_pos, other_asked) -> F.Column:
+        """Whether a shingle at these positions may be one of the first that two sets share so that the rest still reaches the overlap they need."""
+        enough = needed(n, other_n, self.threshold)
+        return (enough <= F.least(n, other_n)) & (F.least(n - pos, other_n - other_pos) >= enough - F.least(asked, other_asked) + 1)
 
     def _led(self) -> DataFrame:
-        """Links between classes and their leaders: for each shingle the class that has it earliest, and of these the one of most shingles."""
-        rank = F.struct((F.col("pos") / F.col("n")).alias("share"), F.col("id").alias("leader"), F.col("n").alias("leader_n"))
-        leaders = self.postings.groupBy("token").agg(F.min(rank).alias("first")).select("token", "first.leader", "first.leader_n")
-        met = self.postings.join(leaders, "token").where((F.col("id") != F.col("leader")) & (needed(F.col("n"), F.col("leader_n"), self.threshold) <= F.least("n", "leader_n")))
-        best = met.groupBy("id", "leader").agg(F.count("*").alias("times")).groupBy("id").agg(F.max(F.struct("times", "leader")).alias("m"))
-        return _verified(best.select(F.col("id").alias("a"), F.col("m.leader").alias("b")), self.sets, self.threshold)
+        """Links between classes and their leaders: for each shingle of more than CROWD classes the one that has it earliest, and of these the one of most shingles."""
+        first = F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "id", "n", "pos", "asked")).alias("y")
+        leaders = self.postings.where(F.col("holders") > CROWD).groupBy("token").agg(first)
+        early = self._early(*(F.col(c) for c in ("n", "pos", "asked", "y.n", "y.pos", "y.asked")))
+        met = self.postings.where(F.col("holders") > CROWD).join(leaders, "token").where((F.col("id") != F.col("y.id")) & early)
+        best = met.groupBy("id", F.col("y.id").alias("leader")).agg(F.count("*").alias("times")).groupBy("id").agg(F.max(F.struct("times", "leader")).alias("m"))
+        return self._verified(best.select(F.col("id").alias("a"), F.col("m.leader").alias("b")))
 
     def _linked(self, postings: DataFrame) -> DataFrame:
         """Links between classes of different roots, by the shingles that their prefixes share."""
@@ -221,11 +238,19 @@ class Join:
         probe = postings.select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.struct("n", "id", "pos", "asked", "root").alias("x"))
         x, y, asked = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}")), F.least("x.asked", "y.asked")
         ordered = (x("n") < y("n")) | ((x("n") == y("n")) & (x("id") < y("id")))
-        enough = needed(x("n"), y("n"), self.threshold)
-        early = F.least(x("n") - x("pos"), y("n") - y("pos")) >= enough - asked + 1
-        met = probe.join(index, ["token", "band"]).where(ordered & (x("root") != y("root")) & (enough <= x("n")) & early)
+        early = self._early(x("n"), x("pos"), x("asked"), y("n"), y("pos"), y("asked"))
+        met = probe.join(index, ["token", "band"]).where(ordered & (x("root") != y("root")) & early)
         pairs = met.groupBy(x("id").alias("a"), y("id").alias("b")).agg(F.count("*").alias("times"), F.min(asked).alias("asked")).where("times >= asked").select("a", "b")
-        return _verified(pairs, self.sets, self.threshold)
+        return self._verified(pairs)
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of class ids that reach the threshold, by their whole sets."""
+        pairs = written(pairs, "pairs")
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sets = _whole_sets(self.docs, self.classes.select("class", "id", "doc_id").join(asked, "id"), self.size)
+        one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
+        shared = F.size(F.array_intersect("s", "t"))
+        return pairs.join(one, "a").join(two, "b").where(100 * shared >= self.threshold * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles and component_id (the least doc_id that can be reached over links) of every document."""
