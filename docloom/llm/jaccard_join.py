@@ -38,11 +38,11 @@ BITS = 22
 #: Counters in a row of the sketch, and rows that are added up in one go.
 CHUNK, FAN = 1 << 16, 64
 #: The longest prefix asks for so many shared shingles.
-MOST = 8
+MOST = 4
 #: Shingles in more prefixes than this have their holders verified against a leader first.
-CROWD = 16
+CROWD = 2
 #: Cost of verifying one shingle, against one row of the join.
-VERIFY = 0.02
+VERIFY = 0.004
 SKETCH = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
@@ -173,9 +173,9 @@ def _bits(wanted: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _whole_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """id and shingles of the given classes (class, id, doc_id of one member), from the texts of the documents with these ids.
+    """class and shingles of the given classes (class, doc_id of one member), from the texts of the documents with these ids; a class may come more than once.
 
-    A bit filter tells in the scan which documents may be meant, so no text is shuffled; what it lets through in error meets no class.
+    A bit filter tells in the scan which documents may be meant, so no text is shuffled; what it lets through in error meets no pair.
     """
     bits, words = _bits(classes.select(F.xxhash64("doc_id").alias("h")))
     shared = docs.sparkSession.sparkContext.broadcast(words)
@@ -187,27 +187,30 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             text = batch.column(1).take(pa.array(asked))
             for at, end in slices(text, SLICE_ROWS, SLICE_BYTES):
                 h, _, bounds = _sorted_sets([t or "" for t in text.slice(at, end - at).to_pylist()], size, None)
-                each = [np.sort(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in each]
+                each = [x for x in (np.sort(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())) if len(x)]
+                digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in each]
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(each, pa.list_(pa.int64()))], names=["class", "shingles"])
 
-    found = packed(docs).select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "class binary, shingles array<long>")
-    once = found.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("shingles").alias("shingles"))  # copies have one set
-    return written(once.join(classes.select("class", "id"), "class").select("id", "shingles"), "sets")
+    return written(packed(docs).select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "class binary, shingles array<long>"), "sets")
 
 
 class Join:
     """Classes, postings and verified links of documents; tables stay until the innermost scratch() ends."""
 
     def __init__(self, docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, bits: int = BITS, all_links: bool = False):
-        self.threshold = threshold
-        self.documents = sets_of(docs, sketch(docs, size, bits), size, threshold)
+        self.threshold, self.docs, self.size = threshold, docs, size
+        each = sets_of(docs, sketch(docs, size, bits), size, threshold)
+        self.documents = written(each.select("doc_id", "class", "n"), "members")
         rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-        grouped = self.documents.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(rank).alias("least"), F.first(F.struct("n", "asked", "prefix")).alias("set"))
-        self.classes = written(grouped.select("class", F.col("least.doc_id").alias("doc_id"), "set.*").withColumn("id", F.monotonically_increasing_id()), "classes")
-        each = self.classes.select("id", "n", "asked", F.posexplode("prefix").alias("pos", "token"))
-        shared = each.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
-        self.docs, self.size, self.postings = docs, size, written(each.join(shared, "token"), "postings")
+        grouped = each.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(rank).alias("least"), F.first(F.struct("n", "asked", "prefix")).alias("set"))
+        classes = written(grouped.select("class", F.col("least.doc_id").alias("doc_id"), "set.*").withColumn("id", F.monotonically_increasing_id()), "classes")
+        self.classes = written(classes.drop("prefix"), "classes")
+        drop(each)
+        tokens = classes.select("id", F.posexplode("prefix").alias("pos", "token"))
+        shared = tokens.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+        found = tokens.join(shared, "token").join(self.classes.select("id", "n", "asked"), "id")
+        self.postings = written(found, "postings")
+        drop(classes)
         if all_links:
             self.links = written(self._linked(self.postings.withColumn("root", F.col("id"))), "links")
             return
@@ -245,12 +248,16 @@ class Join:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of class ids that reach the threshold, by their whole sets."""
-        pairs = written(pairs, "pairs")
-        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = _whole_sets(self.docs, self.classes.select("class", "id", "doc_id").join(asked, "id"), self.size)
-        one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
+        of = self.classes.select("id", "class", "doc_id")
+        named = pairs.join(of.select(F.col("id").alias("a"), F.col("class").alias("one")), "a").join(of.select(F.col("id").alias("b"), F.col("class").alias("two")), "b")
+        named = written(named, "pairs")
+        asked = named.select(F.col("a").alias("id")).union(named.select("b")).distinct()
+        sets = _whole_sets(self.docs, of.join(asked, "id"), self.size)
         shared = F.size(F.array_intersect("s", "t"))
-        return pairs.join(one, "a").join(two, "b").where(100 * shared >= self.threshold * (F.size("s") + F.size("t") - shared)).select("a", "b")
+        met = named.join(sets.select(F.col("class").alias("one"), F.col("shingles").alias("s")), "one").join(sets.select(F.col("class").alias("two"), F.col("shingles").alias("t")), "two")
+        found = written(met.where(100 * shared >= self.threshold * (F.size("s") + F.size("t") - shared)).select("a", "b").distinct(), "verified")
+        drop(named, sets)
+        return found
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles and component_id (the least doc_id that can be reached over links) of every document."""
