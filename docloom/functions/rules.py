@@ -58,50 +58,59 @@ def unmarked(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{M}+", "")
 
 
-def _cut(word: Column, n: int, add: str = "") -> Column:
-    stem = F.concat(F.substr(word, F.lit(1), F.length(word) - n), F.lit(add))
-    return F.when(F.length(stem) >= 3, stem).otherwise(word)
+# Endings that the catalog's stems lose and what they get instead, and how many characters a stem has at least.
+CATALOG_ENDING = r"(?:ies|ing|ed|(?<=[sxz]|ch|sh)es|(?<!s)s)$"
+CATALOG_ADDS, CATALOG_LEAST = {"ies": "y"}, 3
+# What retrieval's stems replace in Latin words, one after the other.
+RETRIEVAL_ENDINGS = ((r"^([a-z]{2,})ies$", "$1y"), (r"^([a-z]{2,}[a-rt-z])s$", "$1"), (r"^(?:([a-z]{3,})ing|([a-z]{4,})ed)$", "$1$2"))
 
 
 def catalog_stem(word: Column) -> Column:
-    """The first suffix rule that fits, if it leaves three characters."""
-    plural = word.endswith("s") & ~word.endswith("ss")
-    return F.when(word.endswith("ies"), _cut(word, 3, "y")).when(word.endswith("ing"), _cut(word, 3)).when(word.endswith("ed"), _cut(word, 2)).when(word.rlike("(?:s|x|z|ch|sh)es$"), _cut(word, 2)).when(plural, _cut(word, 1)).otherwise(word)
+    """The word without its longest known ending, if enough is left."""
+    ending = F.regexp_extract(word, CATALOG_ENDING, 0)
+    added = F.coalesce(*[F.when(ending == e, a) for e, a in CATALOG_ADDS.items()], F.lit(""))
+    bare = F.concat(F.left(word, F.length(word) - F.length(ending)), added)
+    return F.when(F.length(bare) >= CATALOG_LEAST, bare).otherwise(word)
 
 
-def catalog_tokens(text: Column) -> Column:
-    """Runs of letters and digits: those in capitals in lower case as they are, others without stop words and stemmed; two characters at least."""
+def catalog_words(text: Column) -> Column:
+    """Runs of letters and digits of two characters or more, in plain letters; each is made a term by catalog_term()."""
+    return F.filter(F.split(unmarked(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
+
 
-    def token(raw: Column) -> Column:
-        low = F.lower(raw)
-        return F.when(raw.rlike("^[A-Z0-9]*[A-Z][A-Z0-9]*$"), low).when(~low.isin(*CATALOG_STOP), catalog_stem(low))
+def catalog_term(word: Column) -> Column:
+    """A word in capitals in lower case as it is, others stemmed; null for a stop word."""
+    low = F.lower(word)
+    return F.when(word.rlike("^[A-Z0-9]*[A-Z][A-Z0-9]*$"), low).when(~low.isin(*CATALOG_STOP), catalog_stem(low))
 
-    words = F.filter(F.split(unmarked(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
-    return F.filter(F.transform(words, token), lambda t: t.isNotNull())
+
+def catalog_tokens(text: Column) -> Column:
+    """The terms of a short text as one column; for whole tables, explode catalog_words() and take catalog_term() of a column, which Spark compiles."""
+    return F.filter(F.transform(catalog_words(text), catalog_term), lambda t: t.isNotNull())
 
 
 def retrieval_stem(word: Column) -> Column:
-    n = F.length(word)
-    one = F.when(word.endswith("ies") & (n > 4), F.concat(F.substr(word, F.lit(1), n - 3), F.lit("y"))).when(word.endswith("s") & ~word.endswith("ss") & (n > 3), F.substr(word, F.lit(1), n - 1)).otherwise(word)
-    m = F.length(one)
-    two = F.when(one.endswith("ing") & (m > 5), F.substr(one, F.lit(1), m - 3)).when(one.endswith("ed") & (m > 5), F.substr(one, F.lit(1), m - 2)).otherwise(one)
-    return F.when(word.rlike("^[a-z]+$"), two).otherwise(word)
+    for pattern, kept in RETRIEVAL_ENDINGS:
+        word = F.regexp_replace(word, pattern, kept)
+    return word
 
 
-def retrieval_tokens(text: Column) -> Column:
-    """Lower-case runs of letters, digits and marks: Latin ones without marks and stop words and stemmed, others as neighbouring pairs of characters."""
+def retrieval_words(text: Column) -> Column:
+    """Lower-case runs of CJK characters, and of other letters, digits and marks."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{CJK}]+|[[\p{{L}}\p{{N}}\p{{M}}]&&[^{CJK}]]+"), 0)
+
 
-    def bigrams(run: Column) -> Column:
-        last = F.length(run)
-        return F.when(last == 1, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2))))
+def retrieval_terms_of(run: Column, plain: Column) -> Column:
+    """The terms of a run and its form without marks: neighbouring pairs of CJK characters, else its stem, or none for stop words and single letters."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2)))
+    good = ((F.length(plain) >= 2) | plain.rlike(r"^\p{N}+$")) & ~plain.isin(*RETRIEVAL_STOP)
+    return F.when(run.rlike(f"^[{CJK}]"), pairs).when(good, F.array(retrieval_stem(plain))).otherwise(F.array().cast("array<string>"))
 
-    def token(run: Column) -> Column:
-        plain = unmarked(run)
-        good = ((F.length(plain) >= 2) | plain.rlike(r"^\p{N}+$")) & ~plain.isin(*RETRIEVAL_STOP)
-        return F.when(run.rlike(f"^[{CJK}]"), bigrams(run)).when(good, F.array(retrieval_stem(plain))).otherwise(F.array().cast("array<string>"))
 
-    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"[{CJK}]+|[[\p{{L}}\p{{N}}\p{{M}}]&&[^{CJK}]]+"), 0)
-    return F.flatten(F.transform(runs, token))
+def retrieval_tokens(text: Column) -> Column:
+    """The terms of a short text as one column; for whole tables use operators.retrieval.retrieval_counts()."""
+    each = F.transform(retrieval_words(text), lambda w: F.struct(w.alias("run"), unmarked(w).alias("plain")))
+    return F.flatten(F.transform(each, lambda w: retrieval_terms_of(w["run"], w["plain"])))
 
 
 def stripped_markdown(text: Column) -> Column:

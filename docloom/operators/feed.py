@@ -1,4 +1,8 @@
-"""Change feeds, claims and limits: the batch forms."""
+"""Change feeds, claims and limits: the batch forms.
+
+Nulls and edge cases: a null time is neither late nor early and counts with nothing; a null key is a key; rows that tie in an order share no defined place, so orders must be
+total; repeated rows are rows like any other; an empty table gives an empty result; an input column named like an added one is an error.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,11 @@ from pyspark.sql import functions as F
 from .catalog import latest
 
 
+def _refuse(df: DataFrame, added: list[str]) -> None:
+    if clash := sorted(set(added) & set(df.columns)):
+        raise ValueError(f"columns {clash} of the input would be lost")
+
+
 def apply_changes(changes: DataFrame, key: str, order: list[str], removed: str = "removed") -> DataFrame:
     """The state after all changes: the last change of each key, without those that remove it."""
     return latest(changes, [key], order).where(~F.col(removed)).drop(removed)
@@ -15,12 +24,14 @@ def apply_changes(changes: DataFrame, key: str, order: list[str], removed: str =
 
 def admission(df: DataFrame, time: str, now, past: str = "INTERVAL 30 DAYS", future: str = "INTERVAL 1 DAY") -> DataFrame:
     """df with verdict: expired if older than `past` before now or over `future` ahead, else ok."""
+    _refuse(df, ["verdict"])
     late = (F.col(time) < now - F.expr(past)) | (F.col(time) > now + F.expr(future))
     return df.withColumn("verdict", F.when(late, "E_EXPIRED").otherwise("ok"))
 
 
 def counts_before(df: DataFrame, key: str, time: str, spans: dict[str, int]) -> DataFrame:
     """For each row how many rows of its key lie less than so many seconds back, itself included (the bound itself is out)."""
+    _refuse(df, list(spans))
     at = F.unix_micros(F.col(time).cast("timestamp"))
     w = Window.partitionBy(key).orderBy(at)
     return df.withColumns({n: F.count("*").over(w.rangeBetween(1 - s * 1_000_000, 0)) for n, s in spans.items()})
@@ -28,9 +39,10 @@ def counts_before(df: DataFrame, key: str, time: str, spans: dict[str, int]) ->
 
 def changes_only(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Rows whose value differs from that of the row before of their key; the first always stays."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumns({"_b": before, "_n": n}).where((F.col("_n") == 1) | ~F.col("_b").eqNullSafe(F.col(value))).drop("_b", "_n")
+    by = Window.partitionBy(key).orderBy(*order)
+    now = F.struct(F.col(value).alias("v"))  # a struct, so that a null value isn't taken for a missing row
+    seen = df.select(F.struct("*").alias("row"), F.lag(now).over(by).alias("before"), now.alias("now"))
+    return seen.where(~F.col("before").eqNullSafe(F.col("now"))).select("row.*")
 
 
 def ledger(lines: DataFrame) -> DataFrame:

@@ -9,23 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import chunks as C
 from ..functions import rules as R
+from .chunks import chunks_of
 from .retrieval import B, K1
-from .running import _cut, grouped_running
+from .running import grouped_running
+from .scratch import written
 
 # Terms of the selection that a query takes, and chunks whose neighbours are taken.
 SELECTION_TERMS, TOP = 40, 3
 
 
-def chunks_of(text: Column) -> Column:
-    return F.udf(C.chunks, C.CHUNK_TYPE)(text)
-
-
-def packs_of(sizes: Column, target: int) -> Column:
-    return F.udf(lambda s: C.packed(s, target), "array<int>")(sizes)
-
-
 def query_terms(questions: DataFrame, df: DataFrame, n: DataFrame) -> DataFrame:
     """question, term and times: terms of its text count twice each time they stand there, and the 40 rarest of its selection once more.
 
@@ -48,8 +41,8 @@ def chunk_priority(questions: DataFrame, sources: DataFrame) -> DataFrame:
 
     questions has question, text and selection; sources question, source and text. Chunks meet their question's terms by an equality join.
     """
-    parts = sources.select("question", "source", F.explode(chunks_of(F.col("text"))).alias("c")).select("question", "source", "c.place", "c.text").dropDuplicates(["question", "source", "place"])
-    tokens = _cut(parts.select("question", "source", "place", R.retrieval_tokens(F.col("text")).alias("t")))  # read five times below
+    parts = chunks_of(sources.select("question", "source", "text"), ["question", "source"]).dropDuplicates(["question", "source", "place"])
+    tokens = written(parts.select("question", "source", "place", R.retrieval_tokens(F.col("text")).alias("t")))  # read five times below
     sized = tokens.select("question", "source", "place", F.size("t").alias("len"))
     n = sized.groupBy("question").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     tf = tokens.select("question", "source", "place", F.explode("t").alias("term")).groupBy("question", "source", "place", "term").agg(F.count("*").alias("tf"))

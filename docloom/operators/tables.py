@@ -1,6 +1,7 @@
 """Shaping of category and series tables for charts: long rows (category, position, series, value).
 
-Nulls are skipped by sums and means, and a sum of nulls alone stays null; ties go by position.
+Nulls are skipped by sums and means, and a sum of nulls alone stays null; ties go by position, then category; an empty table gives no rows; other columns are left out or kept as the
+function says, and none is added to them.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ def merge_categories(rows: DataFrame, keys: list[str], value: str = "value", kee
 
 def fold_categories(rows: DataFrame, keep: int = KEEP_CATEGORIES, other: str = "Other") -> DataFrame:
     """category, position and value: the keep greatest stay in their order, the rest are summed as other, which comes last."""
-    top = rows.orderBy(F.desc_nulls_last("value"), "position").limit(keep).select(F.col("position").alias("_kept"))
-    marked = rows.join(F.broadcast(top), F.col("position") == F.col("_kept"), "left")  # `keep` rows at most
-    kept = F.col("_kept").isNotNull()
-    return marked.groupBy(F.when(kept, F.col("category")).otherwise(other).alias("category")).agg(
-        F.sum("value").alias("value"), F.min(F.when(kept, F.col("position")).otherwise(F.lit(2**31 - 1))).alias("position")
-    )
+    # A tie at the last place kept goes by position, category and value; rows equal in all of these are alike, so it doesn't matter which of them stay.
+    order = [F.desc_nulls_last("value"), F.asc("position"), F.asc("category")]
+    kept = rows.select("category", "position", "value").orderBy(*order).limit(keep)
+    taken = kept.groupBy(*[F.col(c).alias(f"{c} kept") for c in ("category", "position", "value")]).agg(F.count("*").alias("n"))  # `keep` rows at most
+    same = F.col("category").eqNullSafe(F.col("category kept")) & F.col("position").eqNullSafe(F.col("position kept")) & F.col("value").eqNullSafe(F.col("value kept"))
+    alike = rows.groupBy("category", "position", "value").agg(F.count("*").alias("times"))
+    left = alike.join(F.broadcast(taken), same, "left").withColumn("times", F.col("times") - F.coalesce("n", F.lit(0))).where("times > 0")
+    rest = left.agg(F.sum(F.col("value") * F.col("times")).alias("value"), F.sum("times").alias("times")).where("times > 0")
+    return kept.select("category", "value", "position").unionByName(rest.select(F.lit(other).alias("category"), F.col("value").cast(rows.schema["value"].dataType).alias("value"), F.lit(2**31 - 1).cast(rows.schema["position"].dataType).alias("position")))
 
 
 def cap_series(rows: DataFrame, keep: int = 4) -> DataFrame:

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .running import _cut, grouped_running
+from .running import grouped_running
+from .scratch import written
 
 # What pruning leaves of a tree: contents, bytes of contents, nodes.
 SNAPSHOTS, STORE_BYTES, NODES = 60, 48 * 2**20, 300
@@ -29,15 +30,15 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     Paths double in each round, so their number is the logarithm of the longest path, and a round is two equality joins.
     """
     ids = _nodes(nodes)
-    reach = _cut(ids.select("doc", "id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")))
+    reach = written(ids.select("doc", "id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")))
     jump = ids.where("parent IS NOT NULL").join(ids.select("doc", F.col("id").alias("parent")), ["doc", "parent"], "left_semi").select("doc", "id", F.col("parent").alias("to"))
     step = 1
     while True:
-        jump = _cut(jump.join(reach.select("doc", "id", F.col("ancestor").alias("to")), ["doc", "id", "to"], "left_anti"))  # one that comes back closes a cycle
+        jump = written(jump.join(reach.select("doc", "id", F.col("ancestor").alias("to")), ["doc", "id", "to"], "left_anti"))  # one that comes back closes a cycle
         if jump.isEmpty():
             return reach
         further = jump.join(reach.select("doc", F.col("id").alias("to"), "ancestor", (F.col("depth") + step).alias("depth")), ["doc", "to"])
-        reach = _cut(reach.unionByName(further.drop("to")).groupBy("doc", "id", "ancestor").agg(F.min("depth").alias("depth")))
+        reach = written(reach.unionByName(further.drop("to")).groupBy("doc", "id", "ancestor").agg(F.min("depth").alias("depth")))
         jump = jump.join(jump.select("doc", F.col("id").alias("to"), F.col("to").alias("next")), ["doc", "to"]).select("doc", "id", F.col("next").alias("to"))
         step *= 2
 
@@ -87,7 +88,7 @@ def mended(nodes: DataFrame) -> DataFrame:
     n = _nodes(nodes)
     known = n.select("doc", F.col("id").alias("parent"))
     n = n.join(known.withColumn("known", F.lit(True)), ["doc", "parent"], "left").select("doc", "id", F.when(F.col("known") & (F.col("parent") != F.col("id")), F.col("parent")).alias("parent"), "at")
-    n = _cut(n)
+    n = written(n)
     paths = ancestors(n)
     rooted = paths.join(n.where("parent IS NULL").select("doc", F.col("id").alias("ancestor")), ["doc", "ancestor"], "left_semi").select("doc", "id").distinct()
     lost = paths.where("depth > 0").join(rooted, ["doc", "id"], "left_anti")
@@ -102,7 +103,7 @@ def lanes(nodes: DataFrame) -> DataFrame:
     A node's oldest child goes on in its lane, each other child begins a lane a level below; a group is all lanes that branch from one node, and set_size
     and place count its nodes, lane by lane, oldest lane first. Cycles are mended before.
     """
-    n = _cut(mended(nodes))
+    n = written(mended(nodes))
     order = siblings(n).select("doc", "id", "place", "parent").join(n.select("doc", "id", "at"), ["doc", "id"])
     starts = order.where("place > 1 OR parent IS NULL").select("doc", F.col("id").alias("ancestor"), F.col("at").alias("lane_at"), "parent")
     on_way = ancestors(n).join(starts, ["doc", "ancestor"])
@@ -121,12 +122,12 @@ def prune_plan(nodes: DataFrame, currents: DataFrame, snapshots: int = SNAPSHOTS
     are stored once, so bytes are freed with the last node that has them. Then stubs without children go, oldest first, until `most` nodes are left:
     a node can go when all below it can, and goes when the newest below it does, so its place in line is that of the newest, and below goes before above.
     """
-    n = _cut(_nodes(nodes.withColumn("available", F.col("sha").isNotNull()), "available", "forward", "sha", "bytes"))
+    n = written(_nodes(nodes.withColumn("available", F.col("sha").isNotNull()), "available", "forward", "sha", "bytes"))
     paths = ancestors(n)
     roots = n.where("parent IS NULL").groupBy("doc").agg(F.min(F.struct("at", "id")).alias("r")).select("doc", F.col("r.id").alias("id"))
     current = currents.select("doc", "id").distinct()
     kept = roots.unionByName(paths.join(current, ["doc", "id"], "left_semi").select("doc", F.col("ancestor").alias("id"))).unionByName(redo_children(n).join(current, ["doc", "id"], "left_semi").select("doc", F.col("redo").alias("id"))).distinct()
-    n = _cut(n.join(kept.withColumn("stays", F.lit(True)), ["doc", "id"], "left").withColumn("stays", F.col("stays").isNotNull()))
+    n = written(n.join(kept.withColumn("stays", F.lit(True)), ["doc", "id"], "left").withColumn("stays", F.col("stays").isNotNull()))
 
     held = n.where("available")
     last = held.groupBy("doc", "sha").agg(F.max("bytes").alias("size"), F.bool_or("stays").alias("needed"), F.max(F.struct("at", "id")).alias("last"))
@@ -136,7 +137,7 @@ def prune_plan(nodes: DataFrame, currents: DataFrame, snapshots: int = SNAPSHOTS
     line = line.select("doc", "id", "at", frees.alias("frees"), F.lit(1).alias("one"))
     upto = grouped_running(line, ["doc"], ["at", "id"], {"freed": "frees", "place": "one"}).join(totals, "doc")
     before = (F.col("all_held") - F.col("place") + 1 > snapshots) | (F.col("all_bytes") - F.col("freed") + F.col("frees") > store_bytes)
-    stubbed = _cut(upto.where(before).select("doc", "id"))
+    stubbed = written(upto.where(before).select("doc", "id"))
 
     now = n.join(stubbed.withColumn("cut", F.lit(True)), ["doc", "id"], "left").select("doc", "id", "at", ((~F.col("available") | F.col("cut").isNotNull()) & ~F.col("stays")).alias("free"))
     circle = paths.select("doc", F.col("id").alias("parent"), F.col("ancestor").alias("id")).join(n.select("doc", "id", "parent"), ["doc", "id", "parent"], "left_semi").select("doc", "id", F.lit(True).alias("turns"))

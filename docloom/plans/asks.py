@@ -1,4 +1,4 @@
-"""Queries over chunks of documents and questions to them. They have no SQL, as chunks come from a walk over lines; tests hold them against plain versions."""
+"""Queries over chunks of documents and questions to them. They have no SQL, as chunks are packed greedily; tests hold them against plain versions."""
 
 from __future__ import annotations
 
@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import questions
+from ..operators import chunks, questions
 from ..sources.tables import table
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of each document, with a hash of their text and the request that takes them, of 2,000 estimated tokens at most."""
-    d = table(spark, sf_dir, "documents").select("doc_id", questions.chunks_of(F.col("text")).alias("c"))
-    d = d.withColumn("pack", questions.packs_of(F.transform("c", lambda c: X.estimated_tokens(c["text"]).cast("int")), 2000))
-    each = d.select("doc_id", F.explode(F.arrays_zip("c", "pack")).alias("z"))
-    return each.select("doc_id", "z.c.place", "z.c.start", "z.c.stop", F.sha2("z.c.text", 256).alias("text_sha"), "z.pack")
+    found = chunks.chunks_of(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    each = F.struct("place", "start", "stop", F.sha2("text", 256).alias("text_sha"), X.estimated_tokens(F.col("text")).alias("size"))
+    d = found.groupBy("doc_id", "row_id").agg(F.array_sort(F.collect_list(each)).alias("c"))
+    d = d.withColumn("pack", chunks.packs_of(F.transform("c", lambda c: c["size"]), 2000))
+    return d.select("doc_id", F.explode(F.arrays_zip("c", "pack")).alias("z")).select("doc_id", "z.c.place", "z.c.start", "z.c.stop", "z.c.text_sha", "z.pack")
 
 
 def deep_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

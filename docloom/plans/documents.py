@@ -9,6 +9,7 @@ from ..functions import rules as R
 from ..functions import text as X
 from ..operators import catalog, retrieval, texts
 from ..operators.running import running_sum
+from ..operators.scratch import written
 from ..sources.tables import table
 from .rules import CATALOG_TOKENS, RETRIEVAL_TOKENS
 
@@ -19,13 +20,13 @@ TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), l
 
 def _weighed(docs: DataFrame) -> DataFrame:
     """Catalog tokens of each document: the first 60 characters are its title, which counts twice, and all that follows its summary."""
-    return retrieval.term_counts(docs, "doc_id", [(F.substring("text", 1, 60), 2), (F.substring("text", 61, 2**31 - 1), 1)], R.catalog_tokens)
+    return retrieval.catalog_counts(docs, "doc_id", [(F.substring("text", 1, 60), 2), (F.substring("text", 61, 2**31 - 1), 1)])
 
 
 def related_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight documents most like the one of least id."""
     docs = table(spark, sf_dir, "documents")
-    counts = _weighed(docs)
+    counts = written(_weighed(docs))
     first, n = docs.agg(F.min("doc_id"), F.count("*")).first()
     corpus, query = counts.where(F.col("doc_id") != first), counts.where(F.col("doc_id") == first).select("term", "tf")
     scores = retrieval.cosine(query, corpus, "doc_id", n).withColumn("score", F.round("score", 6))
@@ -66,8 +67,11 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best documents for each benchmark item, taken as a question."""
-    questions = table(spark, sf_dir, "benchmark").select("item_id", R.retrieval_tokens(F.col("text")).alias("terms"))
-    return retrieval.bm25(questions, table(spark, sf_dir, "documents").select("doc_id", R.retrieval_tokens(F.col("text")).alias("terms")))
+    docs = table(spark, sf_dir, "documents")
+    counts = written(retrieval.retrieval_counts(docs, "doc_id"))  # read for sizes, frequencies and scores
+    sizes = counts.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    every = docs.select("doc_id").distinct().join(sizes, "doc_id", "left").select("doc_id", F.coalesce("len", F.lit(0)).alias("len"))
+    return retrieval.bm25(retrieval.retrieval_counts(table(spark, sf_dir, "benchmark"), "item_id"), counts, every)
 
 
 BM25_SQL = f"""

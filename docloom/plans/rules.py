@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
+from ..operators import retrieval
 from ..sources.tables import table
 
 # Patterns and thresholds of page verdicts.
@@ -22,14 +23,12 @@ SCRIPT, DROPPED, TAG = r"(?s)<script[^>]*>(.*?)</script>", r"(?s)<(?:script|styl
 
 def catalog_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of the catalog's tokens."""
-    each = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(R.catalog_tokens(F.col("text")))).alias("term"))
-    return each.groupBy("term").agg(F.count("*").alias("df"))
+    return retrieval.document_frequency(retrieval.catalog_counts(table(spark, sf_dir, "documents"), "doc_id", [(F.col("text"), 1)]))
 
 
 def retrieval_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of retrieval's tokens."""
-    each = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(R.retrieval_tokens(F.col("text")))).alias("term"))
-    return each.groupBy("term").agg(F.count("*").alias("df"))
+    return retrieval.document_frequency(retrieval.retrieval_counts(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def reading_ease(spark: SparkSession, sf_dir: str) -> DataFrame:
