@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chains import reached
 from .running import carried
-from .scratch import drop, written
+from .scratch import written
 
 
 def _placed(df: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
@@ -74,15 +75,6 @@ def accepted(df: DataFrame, keys: list[str], id: str, start: str = "start", stop
     ends = rows.select("key", F.col("hi").alias("at"), F.lit(0).alias("kind"), F.struct("lo", "hi", "id").alias("order"))
     line = begins.unionByName(ends).withColumn("begin", F.when(F.col("kind") == 1, F.col("order")))
     found = carried(line, ["key"], ["at", "kind", "order"], {"next": "begin"}, back=True).where("kind = 0")
-    jump = written(found.select("key", F.col("order").alias("from"), F.col("next").alias("to")).where("next IS NOT NULL"))
-    taken = written(rows.groupBy("key").agg(F.min(F.struct("lo", "hi", "id")).alias("from")))
-    while True:
-        reached = taken.join(jump, ["key", "from"]).select("key", F.col("to").alias("from"))
-        more = written(taken.unionByName(reached).distinct())
-        if more.count() == taken.count():
-            drop(taken, jump)
-            break
-        further = written(jump.join(jump.select("key", F.col("from").alias("to"), F.col("to").alias("next")), ["key", "to"]).select("key", "from", F.col("next").alias("to")))
-        drop(taken, jump)
-        taken, jump = more, further
-    return rows.withColumn("from", F.struct("lo", "hi", "id")).join(more, ["key", "from"], "left_semi").select("row.*")
+    steps = found.select(F.col("key").alias("doc"), F.col("order").alias("id"), F.col("next").alias("to"))
+    taken = reached(rows.groupBy(F.col("key").alias("doc")).agg(F.min(F.struct("lo", "hi", "id")).alias("id")), steps)
+    return rows.withColumn("order", F.struct("lo", "hi", "id")).join(taken.select(F.col("doc").alias("key"), F.col("id").alias("order")), ["key", "order"], "left_semi").select("row.*")

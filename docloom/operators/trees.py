@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chains import climbed, gathered, on_cycles, reached
 from .running import grouped_running
 from .scratch import written
 
@@ -27,6 +28,7 @@ def _nodes(nodes: DataFrame, *extra: str) -> DataFrame:
 def ancestors(nodes: DataFrame) -> DataFrame:
     """doc, id, ancestor and depth: each node with itself (depth 0), its parent (1) and so on, to a root, a missing parent or the end of a cycle.
 
+    All pairs, so rows grow with the depth of a tree: for those who ask for whole paths. The functions below carry what they need along the way instead, in rows in proportion to nodes.
     Paths double in each round, so their number is the logarithm of the longest path, and a round is two equality joins.
     """
     ids = _nodes(nodes)
@@ -43,6 +45,11 @@ def ancestors(nodes: DataFrame) -> DataFrame:
         step *= 2
 
 
+def tops(nodes: DataFrame) -> DataFrame:
+    """doc, id, root (the last node of its path) and n_above, how many are above it; null where the path runs into a cycle."""
+    return climbed(_nodes(nodes)).select("doc", "id", F.col("top").alias("root"), "n_above")
+
+
 def siblings(nodes: DataFrame) -> DataFrame:
     """doc, id, parent, place among its parent's children (from 1, oldest first) and their number, set_size; roots of a tree are siblings."""
     placed = grouped_running(_nodes(nodes).withColumn("one", F.lit(1)), ["doc", "parent"], ["at", "id"], {"place": "one"})
@@ -77,8 +84,8 @@ def scroll_targets(paths: DataFrame) -> DataFrame:
 def rebuilt(nodes: DataFrame) -> DataFrame:
     """doc, id, root and is_current (the newest) of the nodes that the oldest root of each tree reaches; others are left out."""
     n = _nodes(nodes)
-    roots = n.where("parent IS NULL").groupBy("doc").agg(F.min(F.struct("at", "id")).alias("r")).select("doc", F.col("r.id").alias("ancestor"))
-    kept = ancestors(nodes).join(roots, ["doc", "ancestor"]).join(n, ["doc", "id"]).select("doc", "id", "at", F.col("ancestor").alias("root"))
+    roots = n.where("parent IS NULL").groupBy("doc").agg(F.min(F.struct("at", "id")).alias("r")).select("doc", F.col("r.id").alias("root"))
+    kept = climbed(n).select("doc", "id", F.col("top").alias("root")).join(roots, ["doc", "root"]).join(n.select("doc", "id", "at"), ["doc", "id"])
     newest = kept.groupBy("doc").agg(F.max(F.struct("at", "id")).alias("newest"))
     return kept.join(newest, "doc").select("doc", "id", "root", (F.col("id") == F.col("newest.id")).alias("is_current"))
 
@@ -89,12 +96,9 @@ def mended(nodes: DataFrame) -> DataFrame:
     known = n.select("doc", F.col("id").alias("parent"))
     n = n.join(known.withColumn("known", F.lit(True)), ["doc", "parent"], "left").select("doc", "id", F.when(F.col("known") & (F.col("parent") != F.col("id")), F.col("parent")).alias("parent"), "at")
     n = written(n)
-    paths = ancestors(n)
-    rooted = paths.join(n.where("parent IS NULL").select("doc", F.col("id").alias("ancestor")), ["doc", "ancestor"], "left_semi").select("doc", "id").distinct()
-    lost = paths.where("depth > 0").join(rooted, ["doc", "id"], "left_anti")
-    above = lost.join(n.select("doc", F.col("id").alias("ancestor"), F.col("at").alias("its")), ["doc", "ancestor"]).groupBy("doc", "id").agg(F.min(F.struct(F.col("its").alias("at"), F.col("ancestor").alias("id"))).alias("oldest"))
-    tops = above.join(n, ["doc", "id"]).where(F.struct("at", "id") < F.col("oldest")).select("doc", "id", F.lit(True).alias("top"))
-    return n.join(tops, ["doc", "id"], "left").select("doc", "id", F.when(F.col("top").isNull(), F.col("parent")).alias("parent"), "at")
+    ways = climbed(n.withColumn("oldest", F.struct("at", "id")), {"oldest": "least"})
+    tops = ways.where(F.col("top").isNull() & (F.col("oldest.id") == F.col("id"))).select("doc", "id", F.lit(True).alias("lost"))
+    return n.join(tops, ["doc", "id"], "left").select("doc", "id", F.when(F.col("lost").isNull(), F.col("parent")).alias("parent"), "at")
 
 
 def lanes(nodes: DataFrame) -> DataFrame:
@@ -105,10 +109,11 @@ def lanes(nodes: DataFrame) -> DataFrame:
     """
     n = written(mended(nodes))
     order = siblings(n).select("doc", "id", "place", "parent").join(n.select("doc", "id", "at"), ["doc", "id"])
-    starts = order.where("place > 1 OR parent IS NULL").select("doc", F.col("id").alias("ancestor"), F.col("at").alias("lane_at"), "parent")
-    on_way = ancestors(n).join(starts, ["doc", "ancestor"])
-    mine = on_way.groupBy("doc", "id").agg(F.count("*").cast("int").alias("level"), F.min(F.struct("depth", "ancestor", "lane_at", "parent")).alias("l"))
-    mine = mine.select("doc", "id", "level", F.col("l.ancestor").alias("lane"), "l.lane_at", F.col("l.parent").alias("branches_from"), F.col("l.depth").alias("along"), F.lit(1).alias("one"))
+    starts = (F.col("place") > 1) | F.col("parent").isNull()
+    marked = order.select("doc", "id", "parent", starts.cast("int").alias("level"), F.when(starts, F.struct(F.col("id").alias("lane"), F.col("at").alias("lane_at"), F.col("parent").alias("branches_from"))).alias("l"))
+    ways = climbed(marked, {"level": "sum", "l": "first"}).select("doc", "id", F.col("level").cast("int").alias("level"), "l.*", "n_above")
+    begun = ways.select("doc", F.col("id").alias("lane"), F.col("n_above").alias("lane_above"))
+    mine = ways.join(begun, ["doc", "lane"]).select("doc", "id", "level", "lane", "lane_at", "branches_from", (F.col("n_above") - F.col("lane_above")).alias("along"), F.lit(1).alias("one"))
     placed = grouped_running(mine, ["doc", "branches_from"], ["lane_at", "lane", "along"], {"place": "one"})
     sizes = mine.groupBy(F.col("doc").alias("of"), F.col("branches_from").alias("under")).agg(F.count("*").alias("set_size"))
     same = (F.col("doc") == F.col("of")) & F.col("branches_from").eqNullSafe(F.col("under"))
@@ -123,10 +128,11 @@ def prune_plan(nodes: DataFrame, currents: DataFrame, snapshots: int = SNAPSHOTS
     a node can go when all below it can, and goes when the newest below it does, so its place in line is that of the newest, and below goes before above.
     """
     n = written(_nodes(nodes.withColumn("available", F.col("sha").isNotNull()), "available", "forward", "sha", "bytes"))
-    paths = ancestors(n)
     roots = n.where("parent IS NULL").groupBy("doc").agg(F.min(F.struct("at", "id")).alias("r")).select("doc", F.col("r.id").alias("id"))
-    current = currents.select("doc", "id").distinct()
-    kept = roots.unionByName(paths.join(current, ["doc", "id"], "left_semi").select("doc", F.col("ancestor").alias("id"))).unionByName(redo_children(n).join(current, ["doc", "id"], "left_semi").select("doc", F.col("redo").alias("id"))).distinct()
+    current = currents.select("doc", "id").distinct().join(n.select("doc", "id"), ["doc", "id"], "left_semi")
+    known = n.select("doc", F.col("id").alias("to"))
+    above = reached(current, n.select("doc", "id", F.col("parent").alias("to")).join(known, ["doc", "to"], "left_semi"))
+    kept = roots.unionByName(above).unionByName(redo_children(n).join(current, ["doc", "id"], "left_semi").select("doc", F.col("redo").alias("id"))).distinct()
     n = written(n.join(kept.withColumn("stays", F.lit(True)), ["doc", "id"], "left").withColumn("stays", F.col("stays").isNotNull()))
 
     held = n.where("available")
@@ -140,10 +146,11 @@ def prune_plan(nodes: DataFrame, currents: DataFrame, snapshots: int = SNAPSHOTS
     stubbed = written(upto.where(before).select("doc", "id"))
 
     now = n.join(stubbed.withColumn("cut", F.lit(True)), ["doc", "id"], "left").select("doc", "id", "at", ((~F.col("available") | F.col("cut").isNotNull()) & ~F.col("stays")).alias("free"))
-    circle = paths.select("doc", F.col("id").alias("parent"), F.col("ancestor").alias("id")).join(n.select("doc", "id", "parent"), ["doc", "id", "parent"], "left_semi").select("doc", "id", F.lit(True).alias("turns"))
-    now = now.join(circle, ["doc", "id"], "left").select("doc", "id", "at", (F.col("free") & F.col("turns").isNull()).alias("free"))  # those of a cycle are never without children
-    below = paths.join(now, ["doc", "id"]).groupBy("doc", F.col("ancestor").alias("id")).agg(F.bool_and("free").alias("free"), F.max(F.struct("at", F.col("id").alias("by"))).alias("newest"))
-    height = paths.groupBy("doc", "id").agg((-F.max("depth")).alias("up"))
+    turning = written(on_cycles(n).withColumn("turns", F.lit(True)))  # nodes of a cycle are never without children
+    now = now.join(turning, ["doc", "id"], "left").select("doc", "id", "at", (F.col("free") & F.col("turns").isNull()).alias("free"))
+    ranked = now.select("doc", "id", "free", F.struct("at", F.col("id").alias("by")).alias("newest")).join(n.select("doc", "id", "parent"), ["doc", "id"])
+    below = gathered(ranked, {"free": "all", "newest": "greatest"})
+    height = climbed(n.join(turning, ["doc", "id"], "left").select("doc", "id", F.when(F.col("turns").isNull(), F.col("parent")).alias("parent"))).select("doc", "id", (-F.col("n_above")).alias("up"))
     free = below.where("free").join(height, ["doc", "id"]).select("doc", "id", "newest", "up", F.lit(1).alias("one"))
     over = n.groupBy("doc").agg((F.count("*") - most).alias("over"))
     removed = grouped_running(free, ["doc"], ["newest", "up", "id"], {"place": "one"}).join(over, "doc").where("place <= over").select("doc", "id")

@@ -122,7 +122,7 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def character_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits per character of each document."""
-    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.round(R.entropy(F.col("text")), 4).alias("entropy"))
+    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.round(R.text_entropy("text"), 4).alias("entropy"))
 
 
 def new_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,10 +182,15 @@ def capped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document whether another language holds a text of its source and content; short texts have no content hash, and match any."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("kind"), F.col("source").alias("ref"), F.when(F.length("text") >= 200, F.sha2("text", 256)).alias("sha"))
-    # What a language finds in others: each held content under every other language; there are as many rows as languages times distinct contents.
-    kinds = docs.select(F.col("kind").alias("asks")).distinct()
-    held = docs.select("kind", "ref", "sha").distinct().join(kinds, F.col("asks") != F.col("kind")).select(F.col("asks").alias("kind"), "ref", "sha")
-    return catalog.kept_sources(docs, held).select("doc_id", "is_held")
+    # Another language holds something if the least or the greatest language of it isn't the document's own.
+    held = docs.where("kind IS NOT NULL")
+    ends = lambda rows, by: rows.groupBy(*by).agg(F.min("kind").alias("low"), F.max("kind").alias("high"))
+    of_ref = ends(held, ["ref"]).select("ref", F.struct("low", "high").alias("any"))
+    open_ = ends(held.where("sha IS NULL"), ["ref"]).select("ref", F.struct("low", "high").alias("open"))
+    same = ends(held.where("sha IS NOT NULL"), ["ref", "sha"]).select("ref", "sha", F.struct("low", "high").alias("same"))
+    other = lambda c: F.coalesce((F.col(f"{c}.low") != F.col("kind")) | (F.col(f"{c}.high") != F.col("kind")), F.lit(False))
+    found = docs.join(of_ref, "ref", "left").join(open_, "ref", "left").join(same, ["ref", "sha"], "left")
+    return found.select("doc_id", (other("open") | other("same") | (F.col("sha").isNull() & other("any"))).alias("is_held"))
 
 
 def turn_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

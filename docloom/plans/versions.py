@@ -21,7 +21,7 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def version_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each version with how many are above it, and the first of those."""
-    return trees.ancestors(_versions(spark, sf_dir)).groupBy("doc", "id").agg(F.max("depth").alias("n_above"), F.max_by("ancestor", "depth").alias("root"))
+    return trees.tops(_versions(spark, sf_dir)).select("doc", "id", F.col("n_above").cast("int").alias("n_above"), "root")
 
 
 def version_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,3 +135,20 @@ def test_pruning_against_a_loop(spark, made, limits):
     currents = {d: max(nodes) for d, nodes in docs.items()}
     got = {(r.doc, r.id): r.action for r in trees.prune_plan(df, spark.createDataFrame(list(currents.items()), "doc long, id long"), *limits).collect()}
     assert got == {(d, i): a for d, nodes in docs.items() for i, a in plain_prune(nodes, currents[d], *limits).items()}
+
+
+def test_tops(made):
+    rows, df = made
+    want = {}
+    for d, nodes in by_doc(rows).items():
+        for i in nodes:
+            way = path(nodes, i)
+            want[d, i] = (None, None) if nodes[way[-1]][2] in nodes else (way[-1], len(way) - 1)
+    assert {(r.doc, r.id): (r.root, r.n_above) for r in trees.tops(df).collect()} == want
+
+
+def test_a_chain_of_many_nodes_takes_rows_in_proportion(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("1L AS doc", "id", "CASE WHEN id > 0 THEN id - 1 END AS parent", "id AS at")
+    assert trees.tops(df).selectExpr("max(n_above)", "min(root)", "max(root)", "count(*)").first() == (n - 1, 0, 0, n)
+    assert trees.lanes(df).selectExpr("max(level)", "max(place)", "count(*)").first() == (1, n, n)
