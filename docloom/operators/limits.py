@@ -21,6 +21,19 @@ def accept(recent: list[int], at: int | None, limit: int, span: int) -> bool:
     return True
 
 
+def accept_within(recent: list[int], at: int | None, limits: list[tuple[int, int]]) -> bool:
+    """As accept(), under several limits (number, span) at once; recent holds the accepted times less than the longest span back."""
+    if at is None:
+        return False
+    longest = max(span for _, span in limits)
+    while recent and at - recent[0] >= longest:
+        recent.pop(0)
+    if any(sum(at - t < span for t in recent) >= limit for limit, span in limits):
+        return False
+    recent.append(at)
+    return True
+
+
 def rate_limited(events: DataFrame, key: str, ts: str, event: str, limit: int, seconds: int) -> DataFrame:
     """key, event, ts and accepted of every event: a key has `limit` accepted events in any `seconds` at most, and rejected ones don't count.
 
@@ -31,7 +44,13 @@ def rate_limited(events: DataFrame, key: str, ts: str, event: str, limit: int, s
     Nulls and edge cases: a null key is a key of its own; an event without a time is rejected; repeated rows are events of their own; columns
     beyond these three are not read.
     """
-    span = seconds * 1_000_000
+    return limited_within(events, key, ts, event, [(limit, seconds)])
+
+
+def limited_within(events: DataFrame, key: str, ts: str, event: str, limits: list[tuple[int, int]]) -> DataFrame:
+    """As rate_limited(), under several limits (number, seconds) at once: an event is accepted if all of them let it in. A pause of the longest one forgets everything."""
+    spans = [(number, seconds * 1_000_000) for number, seconds in limits]
+    span = max(s for _, s in spans)
     rows = events.select(F.col(key).alias("_k"), F.col(event).alias("_e"), F.col(ts).alias("_t"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
     in_order = Window.partitionBy("_k").orderBy("_at", "_e")
     pause = F.col("_at") - F.lag("_at").over(in_order) >= span
@@ -45,7 +64,7 @@ def rate_limited(events: DataFrame, key: str, ts: str, event: str, limit: int, s
             for k, run, at in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_k", "_run", "_at"))):
                 if (k, run) != now:
                     now, recent = (k, run), []
-                taken.append(accept(recent, at, limit, span))
+                taken.append(accept_within(recent, at, spans))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("_k", "_e", "_t")] + [pa.array(taken, pa.bool_())], names=["_k", "_e", "_t", "accepted"])
 
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}

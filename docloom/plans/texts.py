@@ -71,7 +71,12 @@ def limited_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 2, 12 * 3600).select("user_id", "event_id", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (text_blocks, outlines, summaries, garbage_texts, running_lines, version_ids, page_links, limited_events)}
+def doubly_limited_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As limited_events, but three accepted ones in three days at most as well."""
+    return limits.limited_within(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", [(2, 12 * 3600), (3, 72 * 3600)]).select("user_id", "event_id", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (text_blocks, outlines, summaries, garbage_texts, running_lines, version_ids, page_links, limited_events, doubly_limited_events)}
 
 _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 ORACLE_SQL = {
