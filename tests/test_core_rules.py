@@ -120,3 +120,11 @@ def test_merged_categories_keep_the_first(spark):
 def test_repeated_lines_of_null_groups(spark):
     rows = spark.createDataFrame([(None, i, "x") for i in range(3)] + [(1, i, None) for i in range(3)] + [(2, 0, "x")], "g long, s long, line string")
     assert [r.g for r in texts.without_repeated(rows, "g", "s", "line").collect()] == [2]
+
+
+def test_bm25_makes_each_word_a_term_once(spark, sf_dir):
+    """The counts scan documents once, and no step of a stem stands in the plan over and over."""
+    from docloom.operators import retrieval
+
+    plan = retrieval.retrieval_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("translate(") <= 2 and "lambdafunction(regexp_replace" not in plan
