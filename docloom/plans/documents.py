@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
-from ..operators import catalog, retrieval, texts
+from ..operators import catalog, nearest, retrieval, texts
 from ..operators.running import running_sum
 from ..operators.scratch import written
 from ..sources.tables import table
@@ -18,15 +18,15 @@ BAND = 0.11
 TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 2)"
 
 
-def _weighed(docs: DataFrame) -> DataFrame:
-    """Catalog tokens of each document: the first 60 characters are its title, which counts twice, and all that follows its summary."""
-    return retrieval.catalog_counts(docs, "doc_id", [(F.substring("text", 1, 60), 2), (F.substring("text", 61, 2**31 - 1), 1)])
+def _parts() -> list[tuple[Column, float]]:
+    """Parts of a document: the first 60 characters are its title, which counts twice, and all that follows its summary."""
+    return [(F.substring("text", 1, 60), 2), (F.substring("text", 61, 2**31 - 1), 1)]
 
 
 def related_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight documents most like the one of least id."""
     docs = table(spark, sf_dir, "documents")
-    counts = written(_weighed(docs))
+    counts = written(retrieval.catalog_counts(docs, "doc_id", _parts()))
     first, n = docs.agg(F.min("doc_id"), F.count("*")).first()
     corpus, query = counts.where(F.col("doc_id") != first), counts.where(F.col("doc_id") == first).select("term", "tf")
     scores = retrieval.cosine(query, corpus, "doc_id", n).withColumn("score", F.round("score", 6))
@@ -50,7 +50,7 @@ FROM s JOIN l USING (doc_id) WHERE dot / (norm * (SELECT sqrt(sum(q * q)) FROM q
 def related_to_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As related_documents, for each document whose id is divisible by 100."""
     docs = table(spark, sf_dir, "documents")
-    return retrieval.cosine_of_each(_weighed(docs), F.col("doc_id") % 100 == 0, "doc_id", docs.count())
+    return nearest.related(docs, F.col("doc_id") % 100 == 0, "doc_id", _parts())
 
 
 RELATED_TO_EACH_SQL = f"""{_WEIGHED_SQL}
