@@ -80,6 +80,15 @@ def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (order_leaves, merged_settings, changed_settings, event_hashes, secret_settings, redacted_texts)}
 _ENTROPY = "list_sum(list_transform(list_distinct(string_split({v}, '')), lambda c: -((length({v}) - length(replace({v}, c, ''))) / CAST(length({v}) AS DOUBLE)) * log2((length({v}) - length(replace({v}, c, ''))) / CAST(length({v}) AS DOUBLE))))"
 _DIGEST = "replace(base64(unhex(sha256(coalesce(text, '')))), '/', '-')"
+
+
+def _cut(text: str) -> str:
+    """SQL of a text without keys of the shapes that are redacted, one shape after another."""
+    for shape in R.REDACTED_SHAPES:
+        text = f"regexp_replace({text}, '{shape}', '[REDACTED]', 'g')"
+    return text
+
+
 ORACLE_SQL = {
     "order_leaves": """WITH l AS (SELECT l_orderkey, '[' || string_agg('{"n":' || l_linenumber || ',"part":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS lines FROM lineitem GROUP BY l_orderkey)
         SELECT o_orderkey, 'order.customer.key' AS path, CAST(o_custkey AS VARCHAR) AS value FROM orders UNION ALL SELECT o_orderkey, 'order.status', '"' || o_orderstatus || '"' FROM orders
@@ -99,6 +108,9 @@ ORACLE_SQL = {
     "secret_settings": f"""WITH d AS (SELECT doc_id, doc_id % 4 AS kind, {_DIGEST} AS digest FROM documents),
         h AS (SELECT doc_id FROM d WHERE kind < 2 AND {_ENTROPY.format(v="digest")} > 4.5)
         SELECT doc_id, 'store.folder' AS path FROM h UNION ALL SELECT doc_id, 'store.list' FROM h UNION ALL SELECT doc_id, 'store.Api_Key' FROM d WHERE kind = 3""",
-    "redacted_texts": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_DIGEST} AS v FROM documents)
-        SELECT doc_id, CAST(2 + CAST({_ENTROPY.format(v="v")} > 4.5 AS INTEGER) AS BIGINT) AS n_redacted, sha256(text || ' [REDACTED] [REDACTED]' || chr(10) || CASE WHEN {_ENTROPY.format(v="v")} > 4.5 THEN '[REDACTED]' ELSE v END) AS redacted_sha FROM d""",
+    "redacted_texts": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS h, {_DIGEST} AS v FROM documents),
+        s AS (SELECT doc_id, {_cut("text || ' AKIA' || upper(substr(h, 1, 16)) || ' sk-' || h || chr(10) || v")} AS t FROM d),
+        r AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '[^{R.BLANK}]+|[{R.BLANK}]+'), lambda w: CASE WHEN length(w) >= {R.TOKEN_LENGTH} AND NOT regexp_matches(w, '^[{R.BLANK}]')
+          THEN CASE WHEN {_ENTROPY.format(v="w")} > {R.TOKEN_ENTROPY} THEN '[REDACTED]' ELSE w END ELSE w END), '') AS x FROM s)
+        SELECT doc_id, CAST((length(x) - length(replace(x, '[REDACTED]', ''))) // 10 AS BIGINT) AS n_redacted, sha256(x) AS redacted_sha FROM r""",
 }
