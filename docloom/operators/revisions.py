@@ -1,24 +1,26 @@
 """Revisions of texts: words that two versions share in order, what the later one inserted, and which block of the later one revises which of the earlier one.
 
 Words (with inner apostrophes, hyphens, points and separators) and single signs are tokens. Versions are aligned by a longest common subsequence; beyond CELLS
-combinations of the tokens between common beginning and end, these count as new. The alignment of two token lists is one small Arrow function; offsets, runs,
-carried ranges, candidates and bounds are columns, windows and equality joins.
+combinations of the tokens between common beginning and end, these count as new. Tokens are cut by column expressions, two versions (or the blocks of two) meet in one row, and small
+Arrow functions align them row by row: a task holds the tokens of one pair only, and no row is made for a token or for two blocks that share one.
 
 Nulls and edge cases: a null text is an empty one; two empty texts are alike (1), an empty and another one not (0); a later text without a letter or digit has nothing inserted; one
-without a common token is inserted whole; keys must be unique for each pair of versions, and null keys are keys; an empty table gives an empty result; columns are named in the
+without a common token is inserted whole; keys must be unique for each pair of versions, and a null key is a key; an empty table gives an empty result; columns are named in the
 docstrings, others are left out. Offsets are in code points.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .intervals import containing
-
 # Tokens, signs at the edges of an inserted run that don't count, what a run must hold, combinations that are compared, the least similarity of a revised block.
 TOKEN = r"[\p{L}\p{N}]+(?:['’.,-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
 EDGE, WORDISH = r"^[,.;:!?…'\"“”‘’()\[\]—–-]$", r"[\p{L}\p{N}]"
@@ -32,9 +34,12 @@ def tokens(text: Column) -> Column:
 
 def aligned(old: list[str], new: list[str], cells: int = CELLS) -> np.ndarray:
     """For each new token the old one that it continues, or -1. Of equally long alignments the one that leaves old tokens out first."""
-    out = np.full(len(new), -1, np.int32)
     number: dict[str, int] = {}
-    a, b = (np.array([number.setdefault(t, len(number)) for t in side], np.int64) for side in (old, new))
+    return _aligned(*(np.array([number.setdefault(t, len(number)) for t in side], np.int64) for side in (old, new)), cells)
+
+
+def _aligned(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    out = np.full(len(b), -1, np.int32)
     both = min(len(a), len(b))
     head = int(np.argmin(np.append(a[:both] == b[:both], False)))
     tail = int(np.argmin(np.append(a[::-1][: both - head] == b[::-1][: both - head], False)))
@@ -60,96 +65,163 @@ def aligned(old: list[str], new: list[str], cells: int = CELLS) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def alignment(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([aligned(list(a), list(b)) for a, b in zip(old, new)], dtype=object)
+def _by_row(df: DataFrame, compute: Callable[[dict], object], made: T.DataType, arrow: pa.DataType) -> DataFrame:
+    """key of df and made, what compute makes of the other columns of a row; one row at a time is taken out of an Arrow batch, so what is held is one pair."""
+    names = [c for c in df.columns if c != "key"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
+            found = pa.array((compute({c: sides[c][i].as_py() for c in names}) for i in range(batch.num_rows)), type=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), found], names=["key", "made"])
 
-def _dice(old: Column, new: Column, shared: Column) -> Column:
-    size = F.size(old) + F.size(new)
-    return F.when(size == 0, 1.0).otherwise(2.0 * shared / size)
+    return df.mapInArrow(run, T.StructType([df.schema["key"], T.StructField("made", made)]))
 
 
-def similarity(pairs: DataFrame) -> DataFrame:
-    """key and similarity of pairs (key, old, new): the share of tokens, whatever their case, that both have in order."""
-    cut = pairs.select("key", tokens(F.lower("old")).alias("a"), tokens(F.lower("new")).alias("b"))
-    shared = F.size(F.filter(alignment("a", "b"), lambda i: i >= 0))
-    return cut.select("key", _dice(F.col("a"), F.col("b"), shared).alias("similarity"))
+def _joined(words: Column) -> Column:
+    """Tokens as one text: none holds white space."""
+    return F.array_join(words, " ")
+
+
+def _split(words: str) -> list[str]:
+    return words.split(" ") if words else []
 
 
-def _spans(texts: DataFrame, text: str, *more: str) -> DataFrame:
-    """key, i, word, start and stop of each token: pieces of white space and one token cover a text, so their lengths add up to offsets."""
-    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(?U)\s*(?:{TOKEN})"), 0)
-    each = texts.select("key", *more, F.posexplode(pieces).alias("i", "piece"))
-    stop = F.sum(F.length("piece")).over(Window.partitionBy("key").orderBy("i")).cast("long")
-    word = F.regexp_extract("piece", rf"(?U)^\s*((?:{TOKEN}))$", 1)
-    return each.select("key", *more, "i", word.alias("word"), (stop - F.length(word)).alias("start"), stop.alias("stop"))
+def similarity(pairs: DataFrame) -> DataFrame:
+    """key and similarity of pairs (key, old, new): the share of tokens, whatever their case, that both have in order."""
+    cut = pairs.select("key", *[_joined(tokens(F.lower(side))).alias(side) for side in ("old", "new")])
+
+    def dice(row: dict) -> float:
+        old, new = _split(row["old"]), _split(row["new"])
+        return _dice(len(old), len(new), int((aligned(old, new) >= 0).sum()))
+
+    return _by_row(cut, dice, T.DoubleType(), pa.float64()).withColumnRenamed("made", "similarity")
+
+
+def _dice(old: int, new: int, shared: int) -> float:
+    return 2.0 * shared / (old + new) if old + new else 1.0
+
+
+def _runs(row: dict, label: str) -> list[dict]:
+    """The runs of one new text: tokens of one merge beside each other, without the signs at the edges of an inserted run; what has no letter or digit is no run."""
+    old, new = _split(row["old"]), _split(row["new"])
+    source = aligned(old, new)
+    if not (source >= 0).any():
+        return [{"merge": label, "start": 0, "stop": row["size"]}] if any(row["said"]) else []
+    # The ranges are in order, and the first that holds a token counts.
+    stop = np.cumsum(row["old_widths"])
+    start, held = stop - [len(w) for w in old], np.full(len(old), -1)
+    ranges = row["ranges"] or []
+    for n in range(len(ranges) - 1, -1, -1):
+        held[np.searchsorted(start, ranges[n]["start"]) : np.searchsorted(stop, ranges[n]["stop"], side="right")] = n
+    number = {label: 0}  # of each merge; -1 is none
+    merges = np.array([-1 if r["merge"] is None else number.setdefault(r["merge"], len(number)) for r in ranges] + [-1])
+    of = np.where(source < 0, 0, merges[held[np.maximum(source, 0)]])
+    stop = np.cumsum(row["new_widths"])
+    start = stop - [len(w) for w in new]
+    said, names = np.array(row["said"]), list(number)
+    bounds = np.flatnonzero(np.diff(of, prepend=-2, append=-2))
+    out = []
+    for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if of[at] >= 0 and said[at:end].any():
+            if of[at] == 0:
+                while re.match(EDGE, new[at]):
+                    at += 1
+                while re.match(EDGE, new[end - 1]):
+                    end -= 1
+            out.append({"merge": names[of[at]], "start": int(start[at]), "stop": int(stop[end - 1])})
+    return out
 
 
-def insertions(pairs: DataFrame, label: str, ranges: DataFrame | None = None) -> DataFrame:
+def insertions(pairs: DataFrame, label: str, ranges: DataFrame | Column | None = None) -> DataFrame:
     """key, merge, start and stop of the runs of the new text that the old one hasn't, marked with label, and of earlier ranges carried over tokens that stayed.
 
-    pairs has key, old and new, ranges key, merge, start and stop in the old text; of ranges that hold a token the one of least start (then stop, then merge) counts.
+    pairs has key, old and new, ranges key, merge, start and stop in the old text (or it is a column of pairs, an array of structs of start, stop and merge); of ranges that hold a token the one of least start (then stop, then merge) counts.
     """
-    matched = pairs.select("key", "old", "new", alignment(tokens(F.col("old")), tokens(F.col("new"))).alias("from"))
-    some = matched.where(F.exists("from", lambda i: i >= 0))
-    later = _spans(some, "new", "from").select("key", "i", "word", "start", "stop", F.get("from", F.col("i")).alias("old_i"))
-    if ranges is None:
-        marked = later.withColumn("merge", F.when(F.col("old_i") < 0, label))
+    kind = "array<struct<start: bigint, stop: bigint, merge: string>>"
+    if ranges is None or isinstance(ranges, Column):
+        valid = F.filter(F.lit(None).cast(kind) if ranges is None else ranges.cast(kind), lambda r: r["start"] < r["stop"])
+        met = pairs.withColumn("ranges", F.sort_array(valid))
     else:
-        earlier = _spans(some, "old").select("key", F.col("i").alias("old_i"), "start", "stop")
-        held = containing(earlier, ranges.select("key", "merge", "start", "stop"), ["key"])
-        best = held.groupBy(F.col("left.key").alias("k"), F.col("left.old_i").alias("o")).agg(F.min(F.struct("right.start", "right.stop", "right.merge")).alias("r"))
-        marked = later.join(best, F.col("key").eqNullSafe(F.col("k")) & (F.col("old_i") == F.col("o")), "left").withColumn("merge", F.when(F.col("old_i") < 0, label).otherwise(F.col("r.merge")))
-    by = Window.partitionBy("key").orderBy("i")
-    changed = (~F.col("merge").eqNullSafe(F.lag("merge").over(by))).cast("int")
-    runs = marked.withColumn("changed", changed).withColumn("run", F.sum("changed").over(by)).where("merge IS NOT NULL")
-    # An edge counts unless it is a sign at the edge of a run of this merge.
-    counts = (F.col("merge") != label) | ~F.col("word").rlike(EDGE)
-    found = runs.groupBy("key", "run", "merge").agg(F.min(F.when(counts, F.col("start"))).alias("start"), F.max(F.when(counts, F.col("stop"))).alias("stop"), F.bool_or(F.col("word").rlike(WORDISH)).alias("said"))
-    whole = matched.where(~F.exists("from", lambda i: i >= 0) & F.col("new").rlike(WORDISH)).select("key", F.lit(label).alias("merge"), F.lit(0).cast("long").alias("start"), F.length("new").cast("long").alias("stop"))
-    # Where the new text has no letter or digit nothing is marked, nor is what was carried.
-    silent = matched.where(~F.coalesce(F.col("new").rlike(WORDISH), F.lit(False))).select(F.col("key").alias("k"))
-    kept = found.where("said").select("key", "merge", "start", "stop").join(silent, F.col("key").eqNullSafe(F.col("k")), "left_anti")
-    return kept.unionByName(whole)
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _chosen(n: pd.Series, offers: pd.Series) -> pd.Series:
-    """For each new block in order the old one that it takes, or -1: an equal one (the first), else the most similar one (the last of these) of those not taken."""
-    out = []
-    for size, rows in zip(n, offers):
-        taken, found = set(), np.full(size, -1, np.int32)
-        for new, _, _, old, rank in sorted((r["new"], -r["score"], r["rank"], r["old"], r["rank"]) for r in rows):
-            if found[new] < 0 and old not in taken:
-                found[new] = old
-                taken.add(old)
-        out.append(found)
-    return pd.Series(out, dtype=object)
+        each = F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("merge").cast("string").alias("merge"))
+        held = ranges.where("start < stop").groupBy(F.col("key").alias("of")).agg(F.sort_array(F.collect_list(each)).alias("ranges"))  # a key is one document
+        met = pairs.join(held, F.col("key").eqNullSafe(F.col("of")), "left")
+    # Pieces of white space and one token cover a text, so their lengths add up to offsets.
+    widths = lambda side: F.transform(F.regexp_extract_all(F.coalesce(side, F.lit("")), F.lit(rf"(?U)\s*(?:{TOKEN})"), 0), F.length)
+    new = tokens(F.col("new"))
+    cut = met.select(
+        "key", _joined(tokens(F.col("old"))).alias("old"), _joined(new).alias("new"), widths(F.col("old")).alias("old_widths"), widths(F.col("new")).alias("new_widths"),
+        F.transform(new, lambda w: w.rlike(WORDISH)).alias("said"), F.coalesce(F.length("new"), F.lit(0)).alias("size"), "ranges",
+    )
+    made, arrow = T.StructType().add("merge", "string").add("start", "long").add("stop", "long"), pa.struct([("merge", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
+    return _by_row(cut, lambda row: _runs(row, label), T.ArrayType(made), pa.list_(arrow)).select("key", F.inline("made"))
+
+
+def _origins(row: dict) -> list[dict]:
+    """For each new block in order the old one that it takes: an equal one (the first), else the most similar one (the last of these) of those not taken.
+
+    The tokens that both have bound a similarity from above, so blocks are aligned from the highest bound down, until none left can be better.
+    """
+    old, new = row["old"] or [], row["new"] or []
+    number: dict[str, int] = {}
+    cut = [[np.array([number.setdefault(t, len(number)) for t in _split(b["words"])], np.int64) for b in side] for side in (old, new)]
+    counts = [Counter(w.tolist()) for w in cut[0]]
+    having: dict[int, list[int]] = {}  # the old blocks that have a token
+    for i, c in enumerate(counts):
+        for t in c:
+            having.setdefault(t, []).append(i)
+    equal: dict[str, list[int]] = {}
+    for i in range(len(old) - 1, -1, -1):
+        if old[i]["text"] is not None:
+            equal.setdefault(old[i]["text"], []).append(i)
+    size = np.array([len(w) for w in cut[0]], np.int64)
+    free, out = np.ones(len(old), bool), []
+    for k, block in enumerate(new):
+        same = equal.get(block["text"], [])
+        while same and not free[same[-1]]:
+            same.pop()
+        best, at = LEAST, -1
+        if same:
+            best, at = 2.0, same[-1]
+        elif len(cut[1][k]):
+            most = np.zeros(len(old), np.int64)
+            for t, n in Counter(cut[1][k].tolist()).items():
+                for i in having.get(t, ()):
+                    most[i] += min(n, counts[i][t])
+            bound = 2.0 * most / np.maximum(1, size + len(cut[1][k]))
+            near = np.flatnonzero(free & (bound >= LEAST))
+            for i in near[np.lexsort((-near, -bound[near]))].tolist():
+                if bound[i] < best:
+                    break
+                score = _dice(int(size[i]), len(cut[1][k]), int((_aligned(cut[0][i], cut[1][k]) >= 0).sum()))
+                if score > best or (score == best and i > at):
+                    best, at = score, i
+        if at >= 0:
+            free[at] = False
+        out.append({"place": block["place"], "origin": "new" if at < 0 else "same" if best == 2 else "revised", "old_place": old[at]["place"] if at >= 0 else None, "similarity": min(best, 1.0) if at >= 0 else None})
+    return out
 
 
 def block_origins(old: DataFrame, new: DataFrame) -> DataFrame:
     """key, place, origin (same, revised or new), old_place and similarity of each block of new; both have key, place (from 0) and text.
 
-    Blocks can be alike only if they share a token, so candidates meet by an equality join on tokens, and the number of tokens that both have bounds their similarity
-    from above; only what the bound leaves is aligned. The blocks of a key are then assigned in order: a key is one document.
+    The blocks of a key are assigned in order: a key is one document, whose blocks come into one row. Blocks whose text is null equal none.
     """
-    def counted(blocks: DataFrame, name: str) -> DataFrame:
-        words = blocks.select("key", F.col("place").alias(name), F.explode(tokens(F.lower("text"))).alias("word"))
-        return words.groupBy("key", name, "word").agg(F.count("*").alias(f"n_{name}"))
-
-    size = lambda b, name: b.select("key", F.col("place").alias(name), F.col("text").alias(f"{name}_text"), F.size(tokens(F.lower("text"))).alias(f"{name}_size"))
-    met = counted(old, "old").join(counted(new, "new"), ["key", "word"]).groupBy("key", "old", "new").agg(F.sum(F.least("n_old", "n_new")).alias("most"))
-    near = met.join(size(old, "old"), ["key", "old"]).join(size(new, "new"), ["key", "new"]).where(2 * F.col("most") >= LEAST * (F.col("old_size") + F.col("new_size")) - 1e-9)
-    compared = near.select(F.struct("key", "old", "new").alias("key"), F.col("old_text").alias("old"), F.col("new_text").alias("new"))
-    alike = similarity(compared.where("NOT old <=> new")).where(F.col("similarity") >= LEAST).select("key.*", F.col("similarity").alias("score"), (-F.col("key.old")).alias("rank"))
-    one, two = old.select("key", F.col("place").alias("old"), "text"), new.select("key", F.col("place").alias("new"), "text")
-    equal = one.join(two, ["key", "text"]).select("key", "old", "new", F.lit(2.0).alias("score"), F.col("old").alias("rank"))
-    offers = alike.unionByName(equal)
-    sizes = new.groupBy("key").agg((F.max("place") + 1).cast("int").alias("n"))
-    each = sizes.join(offers.groupBy("key").agg(F.collect_list(F.struct("new", "score", "old", "rank")).alias("offers")), "key", "left")
-    none = F.array().cast("array<struct<new: int, score: double, old: int, rank: int>>")
-    taken = each.select("key", F.posexplode(_chosen("n", F.coalesce(F.col("offers").cast("array<struct<new: int, score: double, old: int, rank: int>>"), none))).alias("new", "old"))
-    found = new.select("key", F.col("place").alias("new")).join(taken, ["key", "new"]).join(offers.select("key", "old", "new", "score"), ["key", "old", "new"], "left")
-    origin = F.when(F.col("old") < 0, "new").when(F.col("score") == 2, "same").otherwise("revised")
-    return found.select("key", F.col("new").alias("place"), origin.alias("origin"), F.when(F.col("old") >= 0, F.col("old")).alias("old_place"), F.when(F.col("old") >= 0, F.least("score", F.lit(1.0))).alias("similarity"))
+    sides = F.col("side") == "old", F.col("side") == "new"
+    each = old.select("key", F.lit("old").alias("side"), "place", "text").unionByName(new.select("key", F.lit("new").alias("side"), "place", "text"))
+    blocks = each.groupBy("key").agg(*[F.sort_array(F.collect_list(F.when(s, F.struct("place", "text")))).alias(name) for s, name in zip(sides, ("old", "new"))])
+    return _assigned(blocks)
+
+
+def line_origins(pairs: DataFrame) -> DataFrame:
+    """As block_origins(), for the lines of pairs (key, old, new) of texts."""
+    lines = lambda text: F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("place"), x.alias("text")))
+    return _assigned(pairs.select("key", lines("old").alias("old"), lines("new").alias("new")))
+
+
+def _assigned(blocks: DataFrame) -> DataFrame:
+    """Origins of key, old and new, arrays of structs of place and text in order."""
+    words = lambda name: F.transform(name, lambda b: F.struct(b["place"].cast("int").alias("place"), b["text"].alias("text"), _joined(tokens(F.lower(b["text"]))).alias("words"))).alias(name)
+    made = T.StructType().add("place", "integer").add("origin", "string").add("old_place", "integer").add("similarity", "double")
+    arrow = pa.struct([("place", pa.int32()), ("origin", pa.string()), ("old_place", pa.int32()), ("similarity", pa.float64())])
+    return _by_row(blocks.where(F.size("new") > 0).select("key", words("old"), words("new")), _origins, T.ArrayType(made), pa.list_(arrow)).select("key", F.inline("made"))

@@ -30,15 +30,13 @@ def revision_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def revision_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs that each later version has inserted. The first half of the first version counts as marked before, and its mark is carried over what stayed."""
     pairs = _versions(spark, sf_dir).select(F.col("doc_id").alias("key"), F.col("base_text").alias("old"), F.col("text").alias("new"))
-    before = pairs.select("key", F.lit("earlier").alias("merge"), F.lit(0).cast("long").alias("start"), F.floor(F.length("old") / 2).alias("stop"))
+    before = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.floor(F.length("old") / 2).alias("stop"), F.lit("earlier").alias("merge")))
     return revisions.insertions(pairs, "now", before).select(F.col("key").alias("doc_id"), "merge", "start", "stop")
 
 
 def revised_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each line of a later version whether it stands in the first one, revises one of its lines, or is new."""
-    pairs = _versions(spark, sf_dir)
-    blocks = lambda text: pairs.select(F.col("doc_id").alias("key"), F.posexplode(F.split(text, "\n")).alias("place", "text"))
-    found = revisions.block_origins(blocks("base_text"), blocks("text"))
+    found = revisions.line_origins(_versions(spark, sf_dir).select(F.col("doc_id").alias("key"), F.col("base_text").alias("old"), F.col("text").alias("new")))
     return found.select(F.col("key").alias("doc_id"), "place", "origin", "old_place", F.round("similarity", 6).alias("similarity"))
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from docloom.operators import revisions
 from docloom.plans import revisions as queries
@@ -145,6 +146,22 @@ def test_blocks(spark):
     assert got == {(k, i): x for k, v in texts.items() for i, x in enumerate(plain_blocks(*v))}
 
 
+def test_pairs_stay_in_their_row(spark):
+    pairs = spark.createDataFrame([(None, "a b\nc", "c\na b x")], "key long, old string, new string")
+    blocks = lambda side: pairs.selectExpr("key", f"posexplode(split({side}, '\n')) AS (place, text)")
+    want = [(0, "same", 1, 1.0), (1, "revised", 0, 0.8)]
+    for found in (revisions.block_origins(blocks("old"), blocks("new")), revisions.line_origins(pairs)):
+        assert sorted((r.place, r.origin, r.old_place, r.similarity) for r in found.collect()) == want
+    half = F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("stop"), F.lit("m").alias("merge")))
+    marks = revisions.insertions(pairs, "now", half)
+    assert {tuple(r) for r in marks.collect()} == {(None, "now", 0, 1), (None, "m", 2, 5), (None, "now", 6, 7)}
+    # neither tokens nor two blocks that share one become rows, which grow with the square of a text, nor do lists of tokens go to Python
+    for found in (marks, revisions.line_origins(pairs), revisions.similarity(pairs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Window", "Join", "Exchange", "Generate posexplode"))
+        assert "ArrowEvalPython" not in plan and "MapInArrow" in plan
+
+
 def test_queries(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() if r.text and len(r.text) >= 40}
     base = {}
