@@ -16,6 +16,12 @@ def test_substrings(spark):
     assert got == {(k, t) for k, x in texts for t in terms if x and t and t in x}
     empty = spark.createDataFrame([], "term string")
     assert substrings.containing(spark.createDataFrame(texts, "key long, text string"), empty).count() == 0
+    for held in (0, 10**6):  # through the index and inside the tasks
+        got = {(r.key, r.term) for r in substrings.containing(spark.createDataFrame(texts, "key long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"), held).collect()}
+        assert got == {(k, t) for k, x in texts for t in terms if x and t and t in x}
+    # no row is made for a gram
+    plan = substrings.containing(spark.createDataFrame(texts, "key long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "Join" not in plan
 
 
 def test_mentions_and_what_is_not_mentioned(spark):
