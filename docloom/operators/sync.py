@@ -23,7 +23,10 @@ def merged_catalog(local: DataFrame, remote: DataFrame) -> DataFrame:
     here = local.where("key IS NOT NULL").select("key", F.col("sha").alias("had"), "pinned", "unread", F.lit(True).alias("here"))
     there = remote.where("key IS NOT NULL").select("key", "sha", "replaces", F.lit(True).alias("there"))
     old = here.select(F.col("key").alias("replaces"), F.col("pinned").alias("old_pin"))
-    rows = here.join(there, "key", "full_outer").join(old, "replaces", "left")
+    # most rows replace none: they stay out of the join, where all of them would come to one task
+    none = there.where("replaces IS NULL").select("key", "sha", "there", F.lit(None).cast("boolean").alias("old_pin"))
+    there = there.where("replaces IS NOT NULL").join(old, "replaces", "left").select("key", "sha", "there", "old_pin").unionByName(none)
+    rows = here.join(there, "key", "full_outer")
     changed = ~F.col("sha").eqNullSafe(F.col("had"))
     action = F.when(F.col("there").isNull(), "delete").when(F.col("here").isNull(), "insert").when(changed, "update").otherwise("same")
     pinned = F.when(F.col("here").isNull(), F.coalesce("old_pin", F.lit(False))).otherwise(F.col("pinned"))

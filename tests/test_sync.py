@@ -13,6 +13,9 @@ def test_merged_catalog(spark):
     got = {r.key: (r.action, r.sha, r.pinned, r.unread) for r in sync.merged_catalog(local, remote).collect()}
     assert got == {"a": ("same", "1", True, False), "b": ("update", "2", False, True), "c": ("delete", None, True, True), "d": ("insert", "1", True, True), "e": ("insert", "1", False, True)}
     assert sync.merged_catalog(local.limit(0), remote.limit(0)).count() == 0
+    # rows that replace none don't meet in the join on replaces, where they would all be one key
+    plan = sync.merged_catalog(local, remote)._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in ("FullOuter", "LeftOuter") if x in plan] == ["FullOuter", "LeftOuter"] and plan.index("FullOuter") < plan.index("LeftOuter") and "isnotnull(replaces" in plan
 
 
 def test_newest_accepted(spark):
