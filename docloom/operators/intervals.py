@@ -2,7 +2,8 @@
 
 An interval lies in one or two cells of the grid whose cells are as wide as its length, rounded up to a power of two. Two intervals that overlap share a cell of the wider one's
 grid, so intervals meet by an equality join on keys, grid and cell; the narrower one goes into the grids of all widths that there are. A pair is taken in the first cell
-that both have, so none comes twice. Acceptance is a chain: each interval points to the first one that begins where it has ended, and chains are followed in doubling steps.
+that both have, so none comes twice. Acceptance reads a key's intervals in order and keeps one number; in a key of more than HOT intervals it is a chain: each interval points to the
+first one that begins where it has ended, and chains are followed in doubling steps.
 
 Nulls and edge cases: intervals are half open and of integers; one with a null bound or of no length meets nothing and is not accepted; null keys are a key of their own; repeated
 intervals are intervals like any other, but where rows are told apart by an id it must be unique; an empty table gives an empty result; input columns stay in structs, so no name can clash.
@@ -10,13 +11,19 @@ intervals are intervals like any other, but where rows are told apart by an id i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chains import reached
 from .running import carried
 from .scratch import written
 
+#: Intervals of a key that one task reads in order at most.
+HOT = 1_000_000
+
 
 def _placed(df: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
     """key (a struct), lo, hi, grid (the power of two of the width) and row of the intervals that have a length."""
@@ -62,14 +69,41 @@ def clear_of(df: DataFrame, occupied: DataFrame, keys: list[str], id: str, start
     return df.join(met, id, "left_anti")
 
 
-def accepted(df: DataFrame, keys: list[str], id: str, start: str = "start", stop: str = "stop") -> DataFrame:
-    """The rows of df that are accepted in order of start, stop and id: each that meets none accepted before it.
+def accepted(df: DataFrame, keys: list[str], id: str, start: str = "start", stop: str = "stop", hot: int = HOT) -> DataFrame:
+    """The rows of df that are accepted in order of start, stop and id: each that meets none accepted before it. Keys of more than `hot` intervals are spread over ranges."""
+    rows = df.select(F.struct("*").alias("row"), F.struct(*keys).alias("key"), F.col(id).alias("id"), F.col(start).cast("long").alias("lo"), F.col(stop).cast("long").alias("hi")).where("lo < hi")
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key")
+    if large.isEmpty():
+        return _scanned(rows)
+    large = written(large)
+    return _scanned(rows.join(large, "key", "left_anti")).unionByName(_chained(written(rows.join(large, "key", "left_semi"))))
+
+
+def _scanned(rows: DataFrame) -> DataFrame:
+    """What accepted() takes of rows: one shuffle by key, read in order with the last stop as state."""
+    by = Window.partitionBy("key").orderBy("lo", "hi", "id")
+    line = rows.withColumn("first", F.row_number().over(by) == 1).sortWithinPartitions("key", "lo", "hi", "id").select("row", "lo", "hi", "first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = None
+        for batch in batches:
+            row, *sides = (batch.column(batch.schema.get_field_index(c)) for c in ("row", "lo", "hi", "first"))
+            taken = []
+            for lo, hi, first in zip(*(s.to_pylist() for s in sides)):
+                taken.append(first or lo >= end)
+                if taken[-1]:
+                    end = hi
+            yield pa.RecordBatch.from_arrays([row.filter(pa.array(taken, pa.bool_()))], names=["row"])
+
+    return line.mapInArrow(run, rows.select("row").schema).select("row.*")
+
+
+def _chained(rows: DataFrame) -> DataFrame:
+    """As _scanned(), where a key may be larger than a task.
 
     Those accepted begin with the first of a key, and each is followed by the first that begins at or behind its stop. The rows that a round reaches double, so
     the rounds are the logarithm of the longest chain; a round is an equality join of rows in proportion to the table, and a hot key is spread over ranges.
     """
-    rows = df.select(F.struct("*").alias("row"), F.struct(*keys).alias("key"), F.col(id).alias("id"), F.col(start).cast("long").alias("lo"), F.col(stop).cast("long").alias("hi")).where("lo < hi")
-    rows = written(rows)
     # As-of: behind each stop, the next interval in order; an interval that begins there counts, so stops come before starts.
     begins = rows.select("key", F.col("lo").alias("at"), F.lit(1).alias("kind"), F.struct("lo", "hi", "id").alias("order"))
     ends = rows.select("key", F.col("hi").alias("at"), F.lit(0).alias("kind"), F.struct("lo", "hi", "id").alias("order"))

@@ -50,3 +50,18 @@ def test_acceptance(spark, coalesce):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted(got) == sorted(taken)
     assert intervals.accepted(df.limit(0), ["k"], "id").count() == intervals.overlapping(df.limit(0), df, ["k"]).count() == 0
+
+
+def test_small_keys_are_read_in_order_and_large_ones_in_ranges(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "a", "b", "b", "b"]), i, lo, lo + rng.randint(0, 6)) for i in range(300) for lo in [rng.randint(0, 200)]]
+    want, ends = [], {}
+    for k, i, lo, hi in sorted(rows, key=lambda r: (r[2], r[3], r[1])):
+        if lo < hi and lo >= ends.get(k, lo):
+            ends[k] = hi
+            want.append(i)
+    df = spark.createDataFrame(rows, "k string, id long, start long, stop long")
+    for hot in (0, 100, 1000):  # all keys are large, one is, none is
+        assert sorted(r.id for r in intervals.accepted(df, ["k"], "id", hot=hot).collect()) == sorted(want)
+    plan = intervals.accepted(df, ["k"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
