@@ -12,7 +12,7 @@ from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,8 +125,8 @@ def retrieval_tokens(text: Column) -> Column:
 
 
 def stripped_markdown(text: Column) -> Column:
-    """Links as their text, no code ticks, no bold or emphasis marks, white space as one blank."""
-    for pattern, to in ((r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"`([^`]*)`", "$1"), (r"\*\*(.+?)\*\*", "$1"), (r"__(.+?)__", "$1"), (r"(^|[^A-Za-z0-9_*])[*_]([^*_\n]+)[*_](?=$|[^A-Za-z0-9_*])", "$1$2"), (r"\s+", " ")):
+    """Links as their text, no code ticks, no bold or emphasis marks, white space as one blank. Each pattern begins with what is rare, as texts are scanned for it."""
+    for pattern, to in ((r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"`([^`]*)`", "$1"), (r"\*\*(.+?)\*\*", "$1"), (r"__(.+?)__", "$1"), (r"[*_](?<![A-Za-z0-9_*].)([^*_\n]+)[*_](?=$|[^A-Za-z0-9_*])", "$1"), (r"\s(?:\s+|(?<! ))", " ")):
         text = F.regexp_replace(text, pattern, to)
     return F.trim(text)
 
@@ -138,6 +138,20 @@ def syllables(word: Column) -> Column:
     return F.when(low == "", 0).when(F.length(low) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(bare, F.lit("[aeiouy]{1,2}"))))
 
 
+# Syllables of words of a to z: a short word, one without a vowel that counts, and else each group of vowels but a silent ending and a y at the beginning.
+_SILENT = "(?:ed|(?<=[b-df-hj-km-np-tv-xz])es?)(?![a-z])"
+_GROUP = f"(?!{_SILENT})[aeiouy]{{1,2}}+"
+_SYLLABLE = rf"(?<![a-z])(?:[a-z]{{1,3}}+(?![a-z])|(?=[a-z]{{4}})y?+[b-df-hj-np-tv-xz]*+(?:{_SILENT}|(?![a-z])))|(?=[aeiouy])(?!(?<![a-z])y){_GROUP}"
+HARD_SYLLABLES = 4
+HARD_WORD = rf"(?<![a-z])(?=[a-z]{{7}})y?+(?:[b-df-hj-np-tv-xz]*+{_GROUP}){{{HARD_SYLLABLES}}}[a-z]*+"
+
+
+def with_syllables(df: DataFrame, text: str) -> DataFrame:
+    """df with n_syllables and n_hard (words of four or more) of a text whose words have one blank between: as syllables() of each word, by patterns over the whole text."""
+    low = df.withColumn("low", F.regexp_replace(F.lower(text), "[^a-z ]+", ""))
+    return low.withColumns({"n_syllables": F.regexp_count("low", F.lit(_SYLLABLE)).cast("long"), "n_hard": F.regexp_count("low", F.lit(HARD_WORD)).cast("long")}).drop("low")
+
+
 def slug(text: Column, most: int = 60) -> Column:
     """Lower-case ASCII letters and digits with dashes between, cut at a dash where it is too long."""
     whole = F.regexp_replace(F.regexp_replace(F.replace(F.lower(unmarked(text)), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", "-"), "^-+|-+$", "")

@@ -33,9 +33,9 @@ def retrieval_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reading_ease(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of each document without Markdown, its words, syllables, and words of four syllables or more."""
-    words = F.filter(F.split(R.stripped_markdown(F.col("text")), r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.length(R.stripped_markdown(F.col("text"))).cast("long").alias("n_chars"), F.transform(words, R.syllables).alias("s"))
-    return d.select("doc_id", "n_chars", F.size("s").cast("long").alias("n_words"), F.aggregate("s", F.lit(0), lambda a, x: a + x).cast("long").alias("n_syllables"), F.size(F.filter("s", lambda x: x >= 4)).cast("long").alias("n_hard"))
+    d = table(spark, sf_dir, "documents").select("doc_id", R.stripped_markdown(F.col("text")).alias("t"))
+    d = d.select("doc_id", "t", F.length("t").cast("long").alias("n_chars"), X.word_count(F.col("t")).cast("long").alias("n_words"))
+    return R.with_syllables(d, "t").drop("t")
 
 
 def chosen_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,8 +46,30 @@ def test_syllables_against_a_plain_version(spark):
     assert one(spark, words, R.syllables) == [plain_syllables(w) for w in words]
 
 
+def test_syllables_of_whole_texts(spark):
+    rnd = random.Random(9)
+    words = ["a", "yes", "jumped", "table", "makes", "queue", "Beautiful", "yxes", "tsked", "yyed", "5", "é", "İİİİstanbul", "ed"] + ["".join(rnd.choice("aeioubdlrstyéE-") for _ in range(rnd.randint(1, 12))) for _ in range(300)]
+    texts_ = [" ".join(rnd.choices(words, k=rnd.randint(1, 12))) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts_)), "i long, t string").withColumn("n_chars", F.length("t"))
+    found = R.with_syllables(df, "t")
+    assert found.columns == ["i", "t", "n_chars", "n_syllables", "n_hard"] and found._jdf.queryExecution().executedPlan().toString().count("lambdafunction") == 0
+    for r in found.collect():
+        each = [plain_syllables(w) for w in r.t.split(" ")] if r.t is not None else None
+        assert (r.n_syllables, r.n_hard) == ((sum(each), sum(x >= 4 for x in each)) if each is not None else (None, None)), r.t
+
+
 def test_stripped_markdown(spark):
     assert one(spark, ["a [link](http://x) and `code`, **bold** __more__ *it* x*y*z\n new", None], R.stripped_markdown) == ["a link and code, bold more it x*y*z new", None]
+    # each text is scanned once by a pattern, which must hold where marks and blanks meet
+    rnd, marks = random.Random(6), "a*_ \t\n.é"
+    values = ["".join(rnd.choices(marks, k=rnd.randint(1, 14))) for _ in range(2000)]
+
+    def plain(t):
+        for p, r in ((r"\*\*(.+?)\*\*", r"\1"), (r"__(.+?)__", r"\1"), (r"(^|[^A-Za-z0-9_*])[*_]([^*_\n]+)[*_](?=$|[^A-Za-z0-9_*])", r"\1\2"), (r"[ \t\n]+", " ")):
+            t = re.sub(p, r, t)
+        return t.strip(" ")
+
+    assert one(spark, values, R.stripped_markdown) == list(map(plain, values))
 
 
 def test_slugs_and_names(spark):
