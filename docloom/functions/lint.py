@@ -5,10 +5,13 @@ Nulls and edge cases: a null text has null sentences; an empty one none.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import stripped_markdown, syllables
+from .rules import HARD_SYLLABLES as LONG_WORD
+from .rules import HARD_WORD, stripped_markdown
 from .text import two_instructions, word_count
 
 # Abbreviations that don't end a sentence, words that begin one, forms of "be", words that only look like participles, and everyday long words.
@@ -23,32 +26,33 @@ EVERYDAY = (
     "variety particular particularly"
 ).split()
 SYMBOLS = "[=^σμΣ∑≈≤≥λθβ]"
-# Limits in words and syllables.
-PROCEDURAL_WORDS, DESCRIPTIVE_WORDS, PLAIN_WORDS, PLAIN_AVERAGE, LONG_WORD = 20, 25, 20, 15, 4
+# Limits in words.
+PROCEDURAL_WORDS, DESCRIPTIVE_WORDS, PLAIN_WORDS, PLAIN_AVERAGE = 20, 25, 20, 15
 ORDERED = r"^\s*[0-9]{1,3}[.)]\s+\S"
+# A line feed between pieces of one sentence: "No." before a digit, an initial before a word that begins no sentence, an abbreviation.
+_OPENS = r"""["'“‘(\[]*+"""
+_RUNS_ON = (
+    rf"\n(?:(?<=(?<![A-Za-z.])[Nn][Oo]\.\n)(?=[0-9])|(?<=(?<![A-Za-z.])[A-Za-z]\.\n)(?={_OPENS}[A-Za-z])(?!{_OPENS}(?i:{'|'.join(STARTERS)})(?![A-Za-z]))"
+    rf"|(?<=(?<![A-Za-z.])(?i:{'|'.join(re.escape(a) for a in ABBREVIATIONS)})\.\n))"
+)
+#: What a word of LONG_WORD syllables has at least: as many groups of vowels (a capital I with a dot has one too).
+_VOWELS = "aeiouyAEIOUYİ"
+_MAY_BE_LONG = rf"((?:[^\s{_VOWELS}]*+[{_VOWELS}]{{1,2}}+){{{LONG_WORD}}}\S*+)|\S++"  # other words are empty
 
 
 def lint_sentences(text: Column) -> Column:
     """Sentences of a text without Markdown: they end at . ! or ? before a capital, a digit or a quote, but not after an abbreviation or an initial.
 
-    Whether a piece runs on depends on its last word and the next piece's first one, so pieces are looked at in pairs and joined in one go.
+    A line feed is put at each end; whether a piece runs on depends on its last word and the next piece's first one, which patterns see around the line feed.
     """
-    pieces = F.split(F.regexp_replace(stripped_markdown(text), r"""([.!?]["'”’)\]]*)\s+(?=["'“‘(\[]?[A-Z0-9])""", "$1\n"), "\n")
-
-    def joint(piece: Column, after: Column) -> Column:
-        last = F.lower(F.regexp_extract(piece, r"([A-Za-z.]+)\.$", 1))
-        first = F.lower(F.regexp_extract(after, r"""^["'“‘(\[]*([A-Za-z]+)""", 1))
-        runs_on = F.when(last == "no", after.rlike("^[0-9]")).when(last.rlike("^[a-z]$"), (first != "") & ~first.isin(*STARTERS)).otherwise(last.isin(*ABBREVIATIONS))
-        return F.when(after.isNull(), piece).otherwise(F.concat(piece, F.when(runs_on, " ").otherwise("\n")))
-
-    joined = F.array_join(F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), joint), "")
+    joined = F.regexp_replace(stripped_markdown(text), r"""([.!?]["'"”’)\]]*)\s+(?=["'“‘(\[]?[A-Z0-9])""", "$1\n")
+    joined = F.regexp_replace(joined, _RUNS_ON, " ")
     return F.filter(F.transform(F.split(joined, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def is_passive(sentence: Column) -> Column:
     """Whether a form of "be" stands before a word in -ed or -en that isn't one of those that only look like participles."""
-    found = F.regexp_extract_all(sentence, F.lit(rf"(?i)(?<![A-Za-z0-9_])(?:{BE})\s+([A-Za-z]+(?:ed|en))(?![A-Za-z0-9_])"), 1)
-    return F.exists(found, lambda w: ~F.lower(w).isin(*NOT_PARTICIPLES))
+    return sentence.rlike(rf"(?i)(?:{BE})(?<![A-Za-z0-9_](?:{BE}))\s+(?!(?:{'|'.join(NOT_PARTICIPLES)})(?![A-Za-z0-9_]))[A-Za-z]+(?<=[A-Za-z]e[dn])(?![A-Za-z0-9_])")
 
 
 def steps(text: Column) -> Column:
@@ -73,9 +77,9 @@ def style_of(text: Column) -> Column:
 
 def long_words(sentence: Column) -> Column:
     """Words of four syllables or more, as bare lower-case letters, but for everyday ones and those with a hyphen."""
-    words = F.filter(F.split(sentence, r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    words = F.array_remove(F.array_distinct(F.regexp_extract_all(sentence, F.lit(_MAY_BE_LONG), 1)), "")
     bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z-]", ""))
-    return F.filter(bare, lambda w: ~w.contains("-") & ~w.isin(*EVERYDAY) & (syllables(w) >= LONG_WORD))
+    return F.filter(bare, lambda w: ~w.contains("-") & w.rlike(HARD_WORD) & ~w.isin(*EVERYDAY))
 
 
 def plain_language_of(text: Column) -> Column:
@@ -84,7 +88,7 @@ def plain_language_of(text: Column) -> Column:
     def of(section: Column) -> Column:
         sentences = F.flatten(F.transform(steps(section), lambda s: lint_sentences(s["line"])))
         each = F.transform(sentences, lambda s: F.struct(word_count(s).alias("n"), long_words(s).alias("w")))
-        return F.struct(each.alias("s"), stripped_markdown(section).rlike(SYMBOLS).alias("symbol"))
+        return F.struct(each.alias("s"), F.when(section.rlike(SYMBOLS), stripped_markdown(section).rlike(SYMBOLS)).otherwise(False).alias("symbol"))
 
     def add(each: Column) -> Column:
         n = F.aggregate(each["s"], F.lit(0), lambda a, s: a + s["n"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import blocks as B
 from docloom.functions import lint as L
+from docloom.functions import text as X
 from docloom.operators import blocks
 from docloom.plans import drafts
 
@@ -169,3 +170,11 @@ def test_cap_and_violations(spark):
     assert blocks.violations(rows, "k").count() == 0
     bad = rows.withColumn("parent", F.lit(9)).withColumn("kind", F.lit("heading"))
     assert {r.rule for r in blocks.violations(bad, "k").collect()} == {"level", "parent"}
+
+
+def test_sentences_are_judged_without_walks_over_their_words(spark):
+    df = spark.createDataFrame([("He came. It was hidden. It is is opened. en is en 1 is", )], "t string")
+    for made, most in ((L.lint_sentences(F.col("t")), 2), (L.is_passive(F.col("t")), 0), (X.word_count(F.col("t")), 0), (L.long_words(F.col("t")), 2)):
+        plan = df.select(made)._jdf.queryExecution().analyzed().toString()
+        assert plan.count("lambdafunction") <= most and "zip_with" not in plan
+    assert df.select(L.is_passive(F.lit("is en, was hidden")), L.is_passive(F.lit("This opened. It is_opened")), L.is_passive(F.lit("IS Opened")), X.word_count(F.lit(" -- a, é ½ x-y "))).first()[:] == (False, False, True, 4)
