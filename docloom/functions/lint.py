@@ -35,9 +35,8 @@ _RUNS_ON = (
     rf"\n(?:(?<=(?<![A-Za-z.])[Nn][Oo]\.\n)(?=[0-9])|(?<=(?<![A-Za-z.])[A-Za-z]\.\n)(?={_OPENS}[A-Za-z])(?!{_OPENS}(?i:{'|'.join(STARTERS)})(?![A-Za-z]))"
     rf"|(?<=(?<![A-Za-z.])(?i:{'|'.join(re.escape(a) for a in ABBREVIATIONS)})\.\n))"
 )
-#: What a word of LONG_WORD syllables has at least: as many groups of vowels (a capital I with a dot has one too).
-_VOWELS = "aeiouyAEIOUYİ"
-_MAY_BE_LONG = rf"((?:[^\s{_VOWELS}]*+[{_VOWELS}]{{1,2}}+){{{LONG_WORD}}}\S*+)|\S++"  # other words are empty
+#: A word that may have LONG_WORD syllables: as many groups of vowels have so many characters at least.
+_MAY_BE_LONG = rf"\S(?<!\S\S)\S{{{2 * LONG_WORD - 2},}}+"
 
 
 def lint_sentences(text: Column) -> Column:
@@ -77,7 +76,7 @@ def style_of(text: Column) -> Column:
 
 def long_words(sentence: Column) -> Column:
     """Words of four syllables or more, as bare lower-case letters, but for everyday ones and those with a hyphen."""
-    words = F.array_remove(F.array_distinct(F.regexp_extract_all(sentence, F.lit(_MAY_BE_LONG), 1)), "")
+    words = F.regexp_extract_all(sentence, F.lit(_MAY_BE_LONG), 0)
     bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z-]", ""))
     return F.filter(bare, lambda w: ~w.contains("-") & w.rlike(HARD_WORD) & ~w.isin(*EVERYDAY))
 
