@@ -23,12 +23,12 @@ SCRIPT, DROPPED, TAG = r"(?s)<script[^>]*>(.*?)</script>", r"(?s)<(?:script|styl
 
 def catalog_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of the catalog's tokens."""
-    return retrieval.document_frequency(retrieval.catalog_counts(table(spark, sf_dir, "documents"), "doc_id", [(F.col("text"), 1)]))
+    return retrieval.catalog_frequency(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def retrieval_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of retrieval's tokens."""
-    return retrieval.document_frequency(retrieval.retrieval_counts(table(spark, sf_dir, "documents"), "doc_id"))
+    return retrieval.retrieval_frequency(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def reading_ease(spark: SparkSession, sf_dir: str) -> DataFrame:

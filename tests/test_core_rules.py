@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import rules as R
 from docloom.functions import text as X
-from docloom.operators import catalog, feed, running, tables, texts
+from docloom.operators import catalog, feed, retrieval, running, tables, texts
 
 
 def one(spark, values, make, kind="string"):
@@ -29,6 +29,28 @@ def test_tokens(spark):
     assert one(spark, ["The studies を東京都で running 7 a x", None], R.retrieval_tokens) == [["study", "を東", "東京", "京都", "都で", "runn", "7"], None]
 
 
+def test_catalog_stems_lose_their_longest_ending(spark):
+    def plain(w):
+        ending = re.search(r"(?:ies|ing|ed|(?:(?<=[sxz])|(?<=ch)|(?<=sh))es|(?<!s)s)$", w)
+        bare = w[: ending.start()] + ("y" if ending[0] == "ies" else "") if ending else w
+        return bare if len(bare) >= 3 else w
+
+    rnd = random.Random(7)
+    words = ["ties", "cities", "axes", "boxes", "class", "sing", "asses", "aches", "ashes", "oches", "red", "𠀀𠀀ies"] + ["".join(rnd.choices("abé", k=rnd.randint(0, 3))) + "".join(rnd.choices(["s", "es", "ies", "ing", "ed", "x", "ch", "sh", "z"], k=2)) for _ in range(500)]
+    assert one(spark, words, R.catalog_stem) == list(map(plain, words))
+    plan = spark.range(1).select(R.catalog_stem(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 2 and "regexp_extract" not in plan  # no pattern is looked for twice
+
+
+def test_frequencies_count_a_document_once(spark):
+    docs = spark.createDataFrame([(1, "box boxes Étés"), (1, "box ete"), (2, "étés BOX"), (None, "box"), (None, "box"), (3, None)], "doc_id long, text string")
+    for made, counted in ((retrieval.catalog_frequency, retrieval.catalog_counts(docs, "doc_id", [(F.col("text"), 1)])), (retrieval.retrieval_frequency, retrieval.retrieval_counts(docs, "doc_id"))):
+        found = made(docs, "doc_id")
+        assert "array_distinct" in found._jdf.queryExecution().analyzed().toString()
+        assert {r.term: r.df for r in found.collect()} == {r.term: r.df for r in retrieval.document_frequency(counted).collect()}
+    assert {r.term: r.df for r in retrieval.catalog_frequency(docs, "doc_id").collect()} == {"box": 3, "ete": 2}
+
+
 def test_sentences_keep_numbers_at_their_ends(spark):
     assert one(spark, ["0 a. 1 b. 2", " x. ", None], X.sentences) == [["0 a.", "1 b.", "2"], ["x."], None]
 
