@@ -18,11 +18,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlapping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order line how many other lines of its part are under way on one of its days, and how many of them all the time."""
     rows = _lines(spark, sf_dir).select("line", "l_partkey", "start", "stop")
-    pairs = intervals.overlapping(rows, rows, ["l_partkey"]).where("left.line <> right.line")
-    whole = (F.col("right.start") <= F.col("left.start")) & (F.col("left.stop") <= F.col("right.stop"))
-    found = pairs.groupBy(F.col("left.line").alias("line")).agg(F.count("*").alias("n_overlapping"), F.count_if(whole).alias("n_containing"))
-    every = rows.select("line").distinct().join(found, "line", "left")
-    return every.select("line", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_overlapping", "n_containing")])
+    return intervals.overlap_counts(rows, ["l_partkey"], "line")
 
 
 def clear_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

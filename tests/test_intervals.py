@@ -65,3 +65,16 @@ def test_small_keys_are_read_in_order_and_large_ones_in_ranges(spark):
         assert sorted(r.id for r in intervals.accepted(df, ["k"], "id", hot=hot).collect()) == sorted(want)
     plan = intervals.accepted(df, ["k"], "id")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_counts_of_overlapping_intervals(spark, monkeypatch):
+    rows, df = made(spark, 4)
+    rows = [(r[0] % 280 if r[0] % 3 == 0 else r[0], *r[1:]) for r in rows]  # some ids come twice
+    df = spark.createDataFrame(rows, df.schema).repartition(5)
+    met = {i: [(x, y) for x in rows if x[0] == i for y in rows if y[0] != i and meets(x, y)] for i, *_ in rows}
+    want = {(i, len(p), sum(y[2] <= x[2] and x[3] <= y[3] for x, y in p)) for i, p in met.items()}
+    for hot in (1000, 100, 0):  # no key is joined, one is, all are
+        assert {tuple(r) for r in intervals.overlap_counts(df, ["k"], "id", hot=hot).collect()} == want
+    plan = intervals.overlap_counts(df, ["k"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert intervals.overlap_counts(df.limit(0), ["k"], "id").count() == 0
