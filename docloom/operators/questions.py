@@ -41,9 +41,13 @@ def chunk_priority(questions: DataFrame, sources: DataFrame) -> DataFrame:
 
     questions has question, text and selection; sources question, source and text. Chunks meet their question's terms by an equality join.
     """
-    parts = chunks_of(sources.select("question", "source", "text"), ["question", "source"]).dropDuplicates(["question", "source", "place"])
-    tokens = written(parts.select("question", "source", "place", R.retrieval_tokens(F.col("text")).alias("t")))  # read five times below
-    sized = tokens.select("question", "source", "place", F.size("t").alias("len"))
+    parts = chunks_of(sources.select("question", "source", "text"), ["question", "source"]).select("question", "source", "place", R.retrieval_tokens(F.col("text")).alias("t"))
+    # only terms that a question can ask for are kept, with their number in each chunk, and how many terms the chunk has
+    may = written(questions.select("question", F.explode(F.array_union(*[F.coalesce(R.retrieval_tokens(F.col(c)), F.array().cast("array<string>")) for c in ("text", "selection")])).alias("term")).groupBy("question").agg(F.collect_set("term").alias("may")))
+    kept = F.filter("t", lambda w: F.array_contains("may", w))
+    counted = parts.join(may, "question", "left").select("question", "source", "place", F.size("t").alias("len"), F.coalesce(kept, F.array().cast("array<string>")).alias("t"))
+    tokens = written(counted.dropDuplicates(["question", "source", "place"]))  # read five times below
+    sized = tokens.select("question", "source", "place", "len")
     n = sized.groupBy("question").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     tf = tokens.select("question", "source", "place", F.explode("t").alias("term")).groupBy("question", "source", "place", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("question", "term").agg(F.count("*").alias("df"))

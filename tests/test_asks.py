@@ -75,3 +75,13 @@ def test_priority_against_a_plain_version(spark):
             want[q, *k] = turn
     got = questions.chunk_priority(spark.createDataFrame(asked, "question long, text string, selection string"), spark.createDataFrame(kept, "question long, source long, text string"))
     assert {(r.question, r.source, r.place): r.turn for r in got.collect()} == want
+
+
+def test_only_terms_that_are_asked_for_are_kept(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(questions, "written", lambda df: tables.append(df) or df)
+    asked = spark.createDataFrame([(1, "alpha beta", "gamma"), (2, None, None)], "question long, text string, selection string")
+    kept = spark.createDataFrame([(1, 1, "alpha delta delta gamma alpha"), (2, 1, "alpha beta"), (3, 1, "alpha")], "question long, source long, text string")
+    questions.chunk_priority(asked, kept)
+    got = {(r.question, r.len): sorted(r.t) for r in tables[-1].collect()}
+    assert got == {(1, 5): ["alpha", "alpha", "gamma"], (2, 2): [], (3, 1): []}
