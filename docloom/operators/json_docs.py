@@ -1,7 +1,8 @@
 """Free JSON documents as rows of leaves: walking, comparing, merging and writing them again, canonical texts and their hashes.
 
 A document is walked level by level with VARIANT columns, each level a written table, so its depth needn't be known. A leaf is any value but an object with members; arrays are leaves.
-Objects meet by equality joins on (key, path), never as whole documents in one task: only the members of one object are gathered, when texts are written again.
+Two documents of a key are merged by passing over the leaves of both in order of their paths, which Spark sorts and may spill, and compared by a full join on (key, path): no side is
+broadcast, as Parquet files of leaves are far smaller than their rows in memory. Only the members of one object are gathered, when texts are written again.
 
 Nulls and edge cases: a null text, one that isn't JSON and one with a member twice in an object has no leaf and a null canonical text; neither has what isn't an object at the top (its
 canonical text is that of the value). An empty object is a leaf, at the top it has none. Members are ordered as UTF-16, also those that look like numbers. Numbers with a fraction lose
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -68,30 +69,24 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _above(rows: DataFrame) -> DataFrame:
-    """key and path of every object above each leaf."""
-    n = F.size("path")
-    return rows.where(n > 1).select("key", F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.slice("path", F.lit(1), i))).alias("path")).distinct()
-
-
 def merged(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """Leaves of the target with the source laid over it: objects are merged, anything else of the source takes the place of what the target has there.
 
     An empty object of the source leaves an object of the target as it is.
     """
-    a, b = (d.select(F.col(key).alias("key"), "path", "value") for d in (target, source))
-    bare = F.col("value") == "{}"
-    same = lambda x, y: F.col(f"{x}.key").eqNullSafe(F.col(f"{y}.key")) & (F.col(f"{x}.path") == F.col(f"{y}.path"))
+    sides = [d.select(F.col(key).alias("key"), "path", "value", F.lit(laid).alias("laid")) for d, laid in ((target, False), (source, True))]
+    # in order, what is under a path comes right behind it, and at one path the source's leaf before the target's
+    order = Window.partitionBy("key").orderBy("path", F.desc("laid"))
+    behind = "lead(CASE WHEN {} THEN named_struct('path', path, 'bare', value = '{{}}') END) IGNORE NULLS OVER (PARTITION BY key ORDER BY path, laid DESC)"
+    rows = sides[0].unionByName(sides[1]).select("*", F.expr(behind.format("NOT laid")).alias("own"), F.expr(behind.format("laid")).alias("over"))
+    below = lambda path, top: F.coalesce(F.slice(path, F.lit(1), F.array_size(top)) == top, F.lit(False))
     # an empty object of the source says nothing where the target has an object, with members or without
-    objects = _above(a).unionByName(a.where(bare).select("key", "path"))
-    says = b.where(~bare).unionByName(b.where(bare).alias("s").join(objects.alias("o"), same("s", "o"), "left_anti").select("key", "path", "value"))
+    object_ = below(F.col("own.path"), F.col("path")) & ((F.array_size("own.path") > F.size("path")) | F.col("own.bare"))
+    says = F.col("laid") & ((F.col("value") != "{}") | ~object_)
+    rows = rows.withColumn("says", says).withColumn("above", F.last(F.when(F.col("says"), F.col("path")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     # leaves of the target go under a leaf of the source, and where the source has an object with members
-    places = F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", F.lit(1), i))).alias("path")
-    each = a.select("key", F.col("path").alias("leaf"), places)
-    gone = each.alias("e").join(says.alias("s"), same("e", "s")).select("e.key", F.col("e.leaf").alias("path"))
-    gone = gone.unionByName(a.alias("t").join(_above(b).alias("o"), same("t", "o")).select("t.key", "t.path"))
-    kept = a.alias("t").join(gone.alias("g"), same("t", "g"), "left_anti").select("key", "path", "value")
-    return kept.unionByName(says).withColumnRenamed("key", key)
+    gone = below(F.col("path"), F.col("above")) | below(F.col("over.path"), F.col("path"))
+    return rows.where(F.col("says") | ~(F.col("laid") | gone)).select(F.col("key").alias(key), "path", "value")
 
 
 def texts(rows: DataFrame, key: str) -> DataFrame:

@@ -75,6 +75,21 @@ def test_leaves_merged_changed_and_written_again(spark, documents):
     assert "NestedLoop" not in both._jdf.queryExecution().executedPlan().toString()
 
 
+def test_merging_broadcasts_and_joins_nothing(spark):
+    pairs = [
+        (1, {"a": {"b": 1, "c": {"d": 2}}, "a!": 3, "a.b": 4}, {"a": 5}), (2, {"a": 1, "a!": 2}, {"a": {"b": {}}, "a!": {}}), (3, {"a": {"b": {"c": 1}}, "b": {}}, {"a": {"b": {}}, "b": {}}),
+        (4, {"a": {"b": 1, "d": 2}}, {"a": {"c": {}, "b": {"x": {"y": 1}}}}), (5, {"": {"": 1}, "x": 2}, {"": {"": {"": {}}}}), (6, {}, {"a": {}}), (7, {"a": {}}, {}), (8, {"a": {"b": 1}}, {"a": None}),
+        (None, {"a": {"b": 1}, "c": 2}, {"a": {"b": {}, "c": 3}, "c": {"d": 4}}),
+    ]
+    a, b = (json_docs.leaves(table(spark, [(p[0], json.dumps(p[n])) for p in pairs]), "k", "j") for n in (1, 2))
+    both = json_docs.merged(a, b, "k")
+    # files of leaves are small, so that Spark took the leaves of all documents for small enough to be held by each task
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = sorted((r.k or 0, tuple(r.path), r.value) for r in both.collect())
+    assert got == sorted((k or 0, p, text_of(v)) for k, x, y in pairs for p, v in walk(laid_over(x, y)))
+
+
 def test_odd_documents(spark):
     rows = [(1, None), (2, "{oops"), (3, "[1]"), (4, "{}"), (5, '{"a":1,"a":2}'), (6, "7"), (None, '{"a":{"b":1}}'), (8, '{"a":{"b":{"c":1}},"d":"e"}'), (9, "")]
     found = json_docs.leaves(table(spark, rows), "k", "j", whole=("a.b",))
