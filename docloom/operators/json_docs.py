@@ -91,7 +91,7 @@ def merged(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
 
 def texts(rows: DataFrame, key: str) -> DataFrame:
     """key and text: documents written again from their leaves, in canonical form. One with no leaf has no row."""
-    rows = rows.select(F.col(key).alias("key"), "path", "value")
+    rows = written(rows.select(F.col(key).alias("key"), "path", "value"))
     deepest = rows.agg(F.coalesce(F.max(F.size("path")), F.lit(0))).first()[0]
     built = rows.where(F.size("path") == deepest)
     for depth in range(deepest, 0, -1):

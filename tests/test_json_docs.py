@@ -90,6 +90,13 @@ def test_merging_broadcasts_and_joins_nothing(spark):
     assert got == sorted((k or 0, p, text_of(v)) for k, x, y in pairs for p, v in walk(laid_over(x, y)))
 
 
+def test_texts_merge_once(spark):
+    a, b = (json_docs.leaves(table(spark, [(1, j), (2, "{}")]), "k", "j") for j in ('{"a":{"b":{"c":1}}}', '{"a":{"b":{"d":2}}}'))
+    got = json_docs.texts(json_docs.merged(a, b, "k"), "k")
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # not once for each depth
+    assert [tuple(r) for r in got.collect()] == [(1, '{"a":{"b":{"c":1,"d":2}}}')]
+
+
 def test_odd_documents(spark):
     rows = [(1, None), (2, "{oops"), (3, "[1]"), (4, "{}"), (5, '{"a":1,"a":2}'), (6, "7"), (None, '{"a":{"b":1}}'), (8, '{"a":{"b":{"c":1}},"d":"e"}'), (9, "")]
     found = json_docs.leaves(table(spark, rows), "k", "j", whole=("a.b",))
