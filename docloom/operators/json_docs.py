@@ -72,7 +72,8 @@ def _q(name: str) -> str:
 def merged(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """Leaves of the target with the source laid over it: objects are merged, anything else of the source takes the place of what the target has there.
 
-    An empty object of the source leaves an object of the target as it is.
+    An empty object of the source leaves an object of the target as it is. All leaves of a key pass through one task, in order and not gathered; documents with a null key pass as one,
+    and where their leaves contradict each other it isn't said which of them count.
     """
     sides = [d.select(F.col(key).alias("key"), "path", "value", F.lit(laid).alias("laid")) for d, laid in ((target, False), (source, True))]
     # in order, what is under a path comes right behind it, and at one path the source's leaf before the target's
