@@ -1,7 +1,7 @@
 """Revisions of texts: words that two versions share in order, what the later one inserted, and which block of the later one revises which of the earlier one.
 
-Words (with inner apostrophes, hyphens, points and separators) and single signs are tokens. Versions are aligned by a longest common subsequence; beyond CELLS
-combinations of the tokens between common beginning and end, these count as new. Tokens are cut by column expressions, two versions (or the blocks of two) meet in one row, and small
+Words (with inner apostrophes, hyphens, points and separators) and single signs are tokens. Versions are aligned by a longest common subsequence, whatever their length: one bit for a
+combination of two tokens, of which HELD bytes are held at once and the rest is worked out again. Tokens are cut by column expressions, two versions (or the blocks of two) meet in one row, and small
 Arrow functions align them row by row: a task holds the tokens of one pair only, and no row is made for a token or for two blocks that share one.
 
 Nulls and edge cases: a null text is an empty one; two empty texts are alike (1), an empty and another one not (0); a later text without a letter or digit has nothing inserted; one
@@ -21,24 +21,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Tokens, signs at the edges of an inserted run that don't count, what a run must hold, combinations that are compared, the least similarity of a revised block.
+# Tokens, signs at the edges of an inserted run that don't count, what a run must hold, the least similarity of a revised block, bytes of an alignment that are held at once.
 TOKEN = r"[\p{L}\p{N}]+(?:['’.,-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
 EDGE, WORDISH = r"^[,.;:!?…'\"“”‘’()\[\]—–-]$", r"[\p{L}\p{N}]"
-CELLS = 250_000
 LEAST = 0.35
+HELD = 8 << 20
+#: The combinations to which the reference limits an alignment. No query does; aligned() does if it is told to.
+CELLS = 250_000
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){TOKEN}"), 0)
 
 
-def aligned(old: list[str], new: list[str], cells: int = CELLS) -> np.ndarray:
-    """For each new token the old one that it continues, or -1. Of equally long alignments the one that leaves old tokens out first."""
+def aligned(old: list[str], new: list[str], cells: int | None = None) -> np.ndarray:
+    """For each new token the old one that it continues, or -1. Of equally long alignments the one that leaves old tokens out first.
+
+    If cells is given, more combinations than that between common beginning and end aren't looked at, and all new tokens there count as new.
+    """
     number: dict[str, int] = {}
     return _aligned(*(np.array([number.setdefault(t, len(number)) for t in side], np.int64) for side in (old, new)), cells)
 
 
-def _aligned(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> np.ndarray:
+def _aligned(a: np.ndarray, b: np.ndarray, cells: int | None = None) -> np.ndarray:
     out = np.full(len(b), -1, np.int32)
     both = min(len(a), len(b))
     head = int(np.argmin(np.append(a[:both] == b[:both], False)))
@@ -46,25 +51,75 @@ def _aligned(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> np.ndarray:
     out[:head] = np.arange(head)
     if tail:
         out[-tail:] = np.arange(len(a) - tail, len(a))
+    at = np.arange(head, len(a) - tail)
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    if not len(a) or not len(b) or len(a) * len(b) > cells:
+    if cells is not None and len(a) * len(b) > cells:
         return out
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)  # best[i, j]: how many tokens a[i:] and b[j:] share
-    for i in range(len(a) - 1, -1, -1):
-        step = np.maximum(best[i + 1, :-1], np.where(a[i] == b, best[i + 1, 1:] + 1, 0))
-        best[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out[head + j] = head + i
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    held = np.isin(a, b)  # old tokens that the new text hasn't are left out wherever they stand
+    a, at = a[held], at[held]
+    if len(a):
+        for j, i in _shared(a, b):
+            out[head + j] = at[i]
     return out
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places in b and a of a longest common subsequence, in order.
+
+    Let best(i, j) be how many tokens a[i:] and b[j:] share. For each j a number has a bit for each i, the last in the lowest place, which is not set where best(i, j) is more than
+    best(i + 1, j): there the old token can't be left out. The number of j comes from that of j + 1 by an addition (Crochemore, Hyyrö).
+    """
+    n, tokens = len(a), b.tolist()
+    full, most = (1 << n) - 1, max(1, 8 * HELD // n)  # numbers that are held at once
+    places: dict[int, list[int]] = {}
+    for place, token in enumerate(a[::-1].tolist()):
+        places.setdefault(token, []).append(place)
+    masks: dict[int, int] = {}
+
+    def equal(token: int) -> int:
+        """A bit for each place of the token in a."""
+        if token not in masks:
+            if len(masks) >= most:
+                masks.clear()
+            bits = bytearray(n // 8 + 1)
+            for place in places.get(token, ()):
+                bits[place >> 3] |= 1 << (place & 7)
+            masks[token] = int.from_bytes(bits, "little")
+        return masks[token]
+
+    def before(j: int, number: int) -> int:
+        same = number & equal(tokens[j])
+        return ((number + same) | (number - same)) & full
+
+    def rows(low: int, high: int, number: int) -> Iterator[tuple[int, int]]:
+        """Each j from low to high with its number, given that of high; of more than are held, those at the ends of up to 64 pieces are kept, and the pieces are worked out again."""
+        step = max(most, -(-(high - low) // 64)) if high - low > most and high - low > 64 else 1
+        kept = []
+        for j in range(high - 1, low - 1, -1):
+            if step > 1 and (high - 1 - j) % step == 0:
+                kept.append((j + 1, number))
+            number = before(j, number)
+            if step == 1:
+                kept.append((j, number))
+        for j, number in reversed(kept):
+            if step == 1:
+                yield j, number
+            else:
+                yield from rows(max(low, j - step), j, number)
+
+    i = 0
+    for j, number in rows(0, len(tokens), full):
+        same = equal(tokens[j])
+        # the next old token that is equal, or that can't be left out
+        left = ((full ^ number) | same) & ((1 << (n - i)) - 1)
+        if not left:
+            return
+        i = n - left.bit_length()
+        if same >> (n - 1 - i) & 1:
+            yield j, i
+            i += 1
+
+
 def _by_row(df: DataFrame, compute: Callable[[dict], object], made: T.DataType, arrow: pa.DataType) -> DataFrame:
     """key of df and made, what compute makes of the other columns of a row; one row at a time is taken out of an Arrow batch, so what is held is one pair."""
     names = [c for c in df.columns if c != "key"]

@@ -176,3 +176,18 @@ def test_queries(spark, sf_dir):
     assert got == {i: plain_marks(docs[b], docs[i], "now", [("earlier", 0, len(docs[b]) // 2)]) for i, b in pairs.items()}
     blocks = {(r.doc_id, r.place): (r.origin, r.old_place, r.similarity) for r in queries.revised_blocks(spark, sf_dir).collect()}
     assert blocks == {(i, k): x for i, b in pairs.items() for k, x in enumerate(plain_blocks(docs[b].split("\n"), docs[i].split("\n")))}
+
+
+def long_versions():
+    """Two versions of 1,200 words that differ at both ends and here and there, so 1.4 million combinations lie between."""
+    rng = random.Random(30)
+    old = [f"w{rng.randint(0, 300)}" for _ in range(1200)]
+    new = ["begin", *(f"new{i}" if i % 100 == 50 else w for i, w in enumerate(old[:-1])), "end"]
+    return " ".join(old), " ".join(new), {k: v for k, v in plain_pairs(old, new, float("inf")).items()}
+
+
+def test_long_blocks_are_aligned_whole(spark):
+    old, new, shared = long_versions()
+    found = revisions.line_origins(spark.createDataFrame([(1, f"one\n{old}", f"{new}\none")], "key long, old string, new string")).collect()
+    assert len(shared) > 1180
+    assert {(r.place, r.origin, r.old_place, round(r.similarity or 0, 9)) for r in found} == {(0, "revised", 1, round(2 * len(shared) / 2401, 9)), (1, "same", 0, 1.0)}
