@@ -191,3 +191,12 @@ def test_long_blocks_are_aligned_whole(spark):
     found = revisions.line_origins(spark.createDataFrame([(1, f"one\n{old}", f"{new}\none")], "key long, old string, new string")).collect()
     assert len(shared) > 1180
     assert {(r.place, r.origin, r.old_place, round(r.similarity or 0, 9)) for r in found} == {(0, "revised", 1, round(2 * len(shared) / 2401, 9)), (1, "same", 0, 1.0)}
+
+
+def test_long_versions_are_marked_whole(spark):
+    old, new, shared = long_versions()
+    half = F.array(F.struct(F.lit(0).alias("start"), F.lit(len(old) // 2).alias("stop"), F.lit("m").alias("merge")))
+    found = {(r.merge, r.start, r.stop) for r in revisions.insertions(spark.createDataFrame([(1, old, new)], "key long, old string, new string"), "now", half).collect()}
+    words = new.split(" ")
+    at = [sum(map(len, words[:j])) + j for j in range(len(words))]
+    assert {("now", at[j], at[j] + len(words[j])) for j in range(len(words)) if words[j][0] != "w"} == {r for r in found if r[0] == "now" and r[2] - r[1] < 10} and len(found) > 15
