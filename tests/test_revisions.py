@@ -1,6 +1,7 @@
 """Revisions against plain programs: alignment by a table of all prefixes, marks token by token, blocks one after another."""
 
 import random
+import tracemalloc
 
 import pytest
 import regex
@@ -200,3 +201,29 @@ def test_long_versions_are_marked_whole(spark):
     words = new.split(" ")
     at = [sum(map(len, words[:j])) + j for j in range(len(words))]
     assert {("now", at[j], at[j] + len(words[j])) for j in range(len(words)) if words[j][0] != "w"} == {r for r in found if r[0] == "now" and r[2] - r[1] < 10} and len(found) > 15
+
+
+def test_long_texts_are_compared_whole(spark, sf_dir, monkeypatch):
+    old, new, shared = long_versions()
+    assert [round(r.similarity, 9) for r in revisions.similarity(spark.createDataFrame([(1, old, new)], "key long, old string, new string")).collect()] == [round(2 * len(shared) / 2401, 9)]
+    rng = random.Random(31)
+    for held in (8 << 20, 16, 1):  # also where numbers are worked out again, in pieces of pieces
+        monkeypatch.setattr(revisions, "HELD", held)
+        for n in (5, 40, 400):
+            a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(n // 2, n))] for _ in range(2))
+            want = plain_pairs(a, b, float("inf"))
+            assert revisions.aligned(a, b).tolist() == [want.get(j, -1) for j in range(len(b))]
+    a = [f"{rng.randint(0, 9000)}" for _ in range(12_000)]
+    b = ["begin", *(rng.choice(a) if rng.random() < 0.2 else w for w in a), "end"]
+    monkeypatch.undo()
+    tracemalloc.start()
+    found = revisions.aligned(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found >= 0).sum() > 9000 and peak < 40e6, peak  # a table of the combinations would take 576 MB
+
+
+def test_queries_whole(spark, sf_dir, monkeypatch):
+    """The three queries against the plain programs without a limit of combinations."""
+    monkeypatch.setattr(plain_pairs, "__defaults__", (float("inf"),))
+    test_queries(spark, sf_dir)
