@@ -89,7 +89,7 @@ def _shared(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
 
     def before(j: int, number: int) -> int:
         same = number & equal(tokens[j])
-        return ((number + same) | (number - same)) & full
+        return ((number + same) | (number ^ same)) & full if same else number
 
     def rows(low: int, high: int, number: int) -> Iterator[tuple[int, int]]:
         """Each j from low to high with its number, given that of high; of more than are held, those at the ends of up to 64 pieces are kept, and the pieces are worked out again."""
@@ -107,17 +107,20 @@ def _shared(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
             else:
                 yield from rows(max(low, j - step), j, number)
 
-    i = 0
+    i, rest = 0, full  # rest: a bit for each place from i on
     for j, number in rows(0, len(tokens), full):
-        same = equal(tokens[j])
+        same = equal(tokens[j]) & rest
         # the next old token that is equal, or that can't be left out
-        left = ((full ^ number) | same) & ((1 << (n - i)) - 1)
+        left = rest & ~number | same
         if not left:
             return
-        i = n - left.bit_length()
-        if same >> (n - 1 - i) & 1:
-            yield j, i
-            i += 1
+        place = left.bit_length() - 1
+        if same >> place:
+            yield j, n - 1 - place
+            place -= 1
+        if n - 1 - place > i:
+            i = n - 1 - place
+            rest = (1 << (n - i)) - 1
 
 
 def _by_row(df: DataFrame, compute: Callable[[dict], object], made: T.DataType, arrow: pa.DataType) -> DataFrame:
@@ -127,12 +130,18 @@ def _by_row(df: DataFrame, compute: Callable[[dict], object], made: T.DataType,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
-            found = pa.array((compute({c: sides[c][i].as_py() for c in names}) for i in range(batch.num_rows)), type=arrow)
+            found = pa.array((compute({c: _value(sides[c][i]) for c in names}) for i in range(batch.num_rows)), type=arrow)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), found], names=["key", "made"])
 
     return df.mapInArrow(run, T.StructType([df.schema["key"], T.StructField("made", made)]))
 
 
+def _value(held: pa.Scalar) -> object:
+    """As Python has it, but lists of numbers or truths as arrays."""
+    plain = held.is_valid and pa.types.is_list(held.type) and (pa.types.is_integer(held.type.value_type) or pa.types.is_boolean(held.type.value_type))
+    return held.values.to_numpy(zero_copy_only=False) if plain else held.as_py()
+
+
 def _joined(words: Column) -> Column:
     """Tokens as one text: none holds white space."""
     return F.array_join(words, " ")
@@ -162,7 +171,7 @@ def _runs(row: dict, label: str) -> list[dict]:
     old, new = _split(row["old"]), _split(row["new"])
     source = aligned(old, new)
     if not (source >= 0).any():
-        return [{"merge": label, "start": 0, "stop": row["size"]}] if any(row["said"]) else []
+        return [{"merge": label, "start": 0, "stop": row["size"]}] if np.any(row["said"]) else []
     # The ranges are in order, and the first that holds a token counts.
     stop = np.cumsum(row["old_widths"])
     start, held = stop - [len(w) for w in old], np.full(len(old), -1)
